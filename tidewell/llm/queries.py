@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, mixing, simhash
+from . import hilbert, mixing, private, secrets, simhash
 from .common import table
 
 
+def _digests(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts of the base kinds, the digest of the base spans, all spans, and counts of what the method added."""
+    count = lambda spans, k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", *[count("base", k).alias(f"n_{k}") for k in kinds], F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
+    )
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digests(secrets.scan_secrets(table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
+
+
+def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digests(private.scan_private(table(spark, sf_dir, "documents")), private.KINDS)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -24,9 +41,11 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_source_mixing": op2_source_mixing,
         "op4_hilbert_sharding": op4_hilbert_sharding,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op9_private_data": op9_private_data,
     }
 
 
