@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, mixing, private, secrets, simhash
+from . import hilbert, langid, mixing, private, secrets, simhash
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(private.scan_private(table(spark, sf_dir, "documents")), private.KINDS)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def queries() -> dict:
         "op1_secret_scan": op1_secret_scan,
         "op2_source_mixing": op2_source_mixing,
         "op4_hilbert_sharding": op4_hilbert_sharding,
+        "op6_language_id": op6_language_id,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op9_private_data": op9_private_data,
     }
