@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, langid, mixing, private, secrets, simhash
+from . import ctw, hilbert, langid, mixing, private, secrets, simhash
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
 
+def op10_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -51,6 +55,7 @@ def queries() -> dict:
         "op6_language_id": op6_language_id,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op9_private_data": op9_private_data,
+        "op10_context_tree_scores": op10_context_tree_scores,
     }
 
 
