@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, hilbert, langid, mixing, private, secrets, simhash
+from . import ctw, decontaminate, hilbert, langid, mixing, private, secrets, simhash
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hilbert.hilbert_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
@@ -51,6 +55,7 @@ def queries() -> dict:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_source_mixing": op2_source_mixing,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_hilbert_sharding": op4_hilbert_sharding,
         "op6_language_id": op6_language_id,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
