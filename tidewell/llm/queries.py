@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, hilbert, langid, mixing, private, secrets, simhash
+from . import ctw, decontaminate, hilbert, langid, linededup, mixing, private, secrets, simhash
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(private.scan_private(table(spark, sf_dir, "documents")), private.KINDS)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def queries() -> dict:
         "op2_source_mixing": op2_source_mixing,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_hilbert_sharding": op4_hilbert_sharding,
+        "op5_line_dedup": op5_line_dedup,
         "op6_language_id": op6_language_id,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op9_private_data": op9_private_data,
@@ -65,4 +70,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op5_line_dedup": linededup.SQL}
