@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, hilbert, langid, linededup, mixing, private, secrets, simhash
+from . import ctw, decontaminate, hilbert, langid, linededup, media, mixing, private, secrets, simhash
 from .common import table
 
 
@@ -22,6 +22,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(secrets.scan_secrets(table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
 
 
+def op8_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of ``embeddings``, played as tunes, are the recordings (the tables hold no audio)."""
+    found = media.linked(table(spark, sf_dir, "embeddings"), id_col="vec_id", media_col="embedding", decode=media.render)
+    return found.withColumnRenamed("rec_id", "vec_id")
+
+
 def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(private.scan_private(table(spark, sf_dir, "documents")), private.KINDS)
 
@@ -64,6 +70,7 @@ def queries() -> dict:
         "op5_line_dedup": op5_line_dedup,
         "op6_language_id": op6_language_id,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op8_chroma_fingerprints": op8_chroma_fingerprints,
         "op9_private_data": op9_private_data,
         "op10_context_tree_scores": op10_context_tree_scores,
     }
