@@ -7,6 +7,7 @@ looking at, and the item is verified around each hit with Myers's bit-parallel e
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,8 +138,6 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = 0.06, id_col: str = "
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("end", pa.int64()), ("distance", pa.int64()), ("budget", pa.int64())])
-    rows = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text IS NOT NULL").orderBy("item_id", "text")
-
     def over(block: list[tuple[int, str]]) -> DataFrame:
         held: dict = {}
 
@@ -154,23 +153,39 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = 0.06, id_col: str = "
 
         return arrow_map(slim, run, schema)
 
-    found, block, size = None, [], 0
+    found = None
+    for block in blocks(items, item_col, item_text_col, block_bytes):
+        found = over(block) if found is None else found.unionByName(over(block))
+    return over([]) if found is None else found
+
+
+def blocks(items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4_000_000):
+    """The items that have a text, in lists of about ``block_bytes`` characters."""
+    rows = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text IS NOT NULL").orderBy("item_id", "text")
+    block, size = [], 0
     for r in rows.toLocalIterator():
         block.append((r["item_id"], r["text"]))
         size += len(r["text"])
         if size > block_bytes:
-            found, block, size = over(block) if found is None else found.unionByName(over(block)), [], 0
-    if block or found is None:
-        found = over(block) if found is None else found.unionByName(over(block))
-    return found
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
 
 
-def clean(docs: DataFrame, items: DataFrame, rate: float = 0.06, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns.
+def clean(docs: DataFrame, items: DataFrame, rate: float = 0.06, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns; a filter, nothing is shuffled."""
+    for block in blocks(items):
+        docs = docs.where(~_holds(block, rate)(F.col(text_col)))
+    return docs
 
-    Documents are told apart by a digest of id and text, so ids that repeat or are null do no harm.
-    """
-    mark = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
-    marked = docs.withColumn("__mark", mark)
-    bad = leaks(marked, items, rate, id_col="__mark", text_col=text_col).select(F.col("doc_id").alias("__bad")).distinct()
-    return marked.join(bad, F.col("__mark") == F.col("__bad"), "left_anti").drop("__mark")
+
+def _holds(block: list[tuple[int, str]], rate: float):
+    held: dict = {}
+
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        matcher = held.get("m") or held.setdefault("m", Matcher(block, rate))
+        return pd.Series([bool(matcher.find(normal(t or ""))) for t in texts], dtype=bool)
+
+    return holds

@@ -107,3 +107,11 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
         ordered.join(starts, task == F.col("task")).withColumn("rank", rank).withColumn("shard", shard.cast("int")).withColumn("slot", F.col("rank") - first.cast("long"))
         .select("doc_id", "size", "text_crc32", "hilbert", "shard", "slot", *[F.col(f"__keep_{c}").alias(c) for c in keep])
     )
+
+
+def sharded_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """The rows of ``docs``, all columns, with their shard and slot. Only digests are sorted; texts are joined to their places."""
+    row = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.withColumn("__row", row)
+    places = hilbert_shards(keyed, shards, id_col, text_col, categories, keep=("__row",)).groupBy("__row").agg(F.collect_list(F.struct("shard", "slot")).alias("__places"))
+    return keyed.dropDuplicates(["__row"]).join(places, "__row").select(*docs.columns, F.inline("__places"))

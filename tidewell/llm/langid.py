@@ -9,8 +9,9 @@ the largest cosine with it. Signs are kept as bits, so binding is exclusive or.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map
@@ -130,45 +131,73 @@ def predict(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_id
     texts where no language is known, are ``und`` with score 0. Ties go to the first name.
     Repeated rows are predicted alike; an empty table gives no rows.
     """
-    names = list(known)
-    matrix = np.array([known[n] for n in names]) if names else np.zeros((0, DIMENSIONS))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
     kept = [pa.field(f.name, t) for f, t in zip(slim.schema.fields[2:], _arrow_types(slim, keep))]
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), *kept])
-    held: dict = {}
+    tag = judge(known)
 
     def run(batch: pa.RecordBatch) -> dict:
-        space = held.get("space") or held.setdefault("space", Space())
-        langs, scores = [], []
-        for text in batch.column(1).to_pylist():
-            keys, counts = np.unique(space.trigrams(text or ""), return_counts=True)
-            if not len(keys) or not names:
-                langs.append("und")
-                scores.append(0.0)
-                continue
-            v = space.bundle(keys, counts)
-            cos = matrix @ v / max(np.linalg.norm(v), 1e-12)
-            best = int(cos.argmax())
-            langs.append(names[best])
-            scores.append(float(min(1.0, max(0.0, cos[best]))))
-        return {"doc_id": batch.column(0), "lang_pred": langs, "score": scores} | {f.name: batch.column(2 + i) for i, f in enumerate(kept)}
+        found = [tag(text) for text in batch.column(1).to_pylist()]
+        return {"doc_id": batch.column(0), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]} | {f.name: batch.column(2 + i) for i, f in enumerate(kept)}
 
     return arrow_map(slim, run, schema)
 
 
+def judge(known: dict[str, np.ndarray]):
+    """A function from a text to (language, cosine, number of trigrams)."""
+    names, matrix, held = list(known), np.array(list(known.values())), {}
+
+    def tag(text: str | None) -> tuple[str, float, int]:
+        space = held.get("space") or held.setdefault("space", Space())
+        keys, counts = np.unique(space.trigrams(text or ""), return_counts=True)
+        if not len(keys) or not names:
+            return "und", 0.0, 0
+        v = space.bundle(keys, counts)
+        cos = matrix @ v / max(np.linalg.norm(v), 1e-12)
+        best = int(cos.argmax())
+        return names[best], float(min(1.0, max(0.0, cos[best]))), int(counts.sum())
+
+    return tag
+
+
+def tagger(known: dict[str, np.ndarray]):
+    """A column function: text to (lang, score, trigrams)."""
+    tag = judge(known)
+
+    @F.pandas_udf("lang string, score double, trigrams long")
+    def column(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([tag(t) for t in texts], columns=["lang", "score", "trigrams"])
+
+    return column
+
+
 def _arrow_types(df: DataFrame, keep: tuple[str, ...]) -> list:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return [to_arrow_type(df.schema[c].dataType) for c in keep]
 
 
+def is_held_out(id_col: str) -> Column:
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.35, long: int = 200) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is told.
+
+    Texts that are ``und`` go, and so do those of ``long`` trigrams or more that resemble no language
+    (cosine below ``least``): lists of symbols, one word over and over. Short texts stay, as little can be told from them.
+    """
+    known = prototypes(docs.where(~is_held_out(id_col)), lang_col, text_col)
+    tagged = docs.withColumn("__tag", tagger(known)(F.col(text_col)))
+    return tagged.where((F.col("__tag.lang") != "und") & ((F.col("__tag.score") >= least) | (F.col("__tag.trigrams") < long))).drop("__tag")
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): rows with crc32(id) mod 3 = 1 are held out of the learning.
 
     A null id counts as the empty string. Other columns are never read by a prediction.
     """
-    held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    held_out = is_held_out(id_col)
     known = prototypes(docs.where(~held_out), lang_col, text_col)
     found = predict(docs, known, id_col, text_col, keep)
-    again = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
-    return found.select("doc_id", again.alias("held_out"), "lang_pred", "score", *keep)
+    return found.select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score", *keep)

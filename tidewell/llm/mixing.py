@@ -42,7 +42,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
     name = F.col(source_col).cast("string")
-    digest = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(body)))
+    digest = _digest(id_col, text_col)
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 1) / F.lit(2.0**48 + 1)
     slim = cut(
         docs.select(
@@ -78,6 +78,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0) -> DataFrame:
+    """The rows of the mix, all columns: each row of ``docs`` as often as it is taken, the one at the cut if half of it is.
+
+    Repeated rows are told apart by nothing, so the times they are taken are added up.
+    """
+    taken = mix(docs, id_col, text_col, source_col, cap).groupBy("digest").agg(F.sum(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)).cast("int").alias("__times"))
+    keyed = docs.withColumn("__digest", _digest(id_col, text_col)).dropDuplicates(["__digest"])
+    times = taken.where("__times > 0").withColumnRenamed("digest", "__digest")
+    return keyed.join(times, "__digest").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+
+
+def _digest(id_col: str, text_col: str) -> Column:
+    return F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+
+
 def source_targets(sources: DataFrame, cap: float) -> DataFrame:
     """(source, source_size, target): water-filling by one pass over sources sorted by cap / weight.
 
