@@ -94,7 +94,7 @@ def check(rows, got):
     assert np.array([r[5:] for r in got]) == pytest.approx(np.array([r[5:] for r in want]), rel=1e-9)
 
 
-@pytest.mark.parametrize("head, most_sent", [(1 << 18, 1 << 23), (3, 1 << 23), (0, 0)])
+@pytest.mark.parametrize("head, most_sent", [((1 << 18, 1 << 20), 1 << 23), ((3, 2), 1 << 23), ((0, 0), 0)])
 def test_against_brute_force(spark, head, most_sent):
     rows = [(i, t) for i, t in enumerate(["the cat sat on the mat", "The dog\tsat", None, "", "é ü éa", "a" * 40, "the the cat", "on a mat", "dog cat", "zzz qqq", "cat", "new words here", "\x00\x01"])]
     df = frame(spark, [(i, t, "en", "s", 0, 0, None, None, 0) for i, t in rows])
@@ -114,7 +114,7 @@ def test_chunks_make_no_difference(spark, sf_dir):
     words = ctw.count_words(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id % 2 = 0 AS held_out", "text"))
     whole, top = ctw.learn(words)
     parts, top2 = ctw.learn(words, chunk=100)
-    one, two = ({r["key"]: r["one"] for r in x.collect()} for x in (whole, parts))
+    one, two = ({r["key"]: np.frombuffer(r["one"]) for r in x.collect()} for x in (whole, parts))
     assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
     assert top.one == pytest.approx(top2.one) and top.rest == pytest.approx(top2.rest)
 

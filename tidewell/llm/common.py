@@ -50,6 +50,13 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Keeps Arrow batches of long texts small, unless the session asks for less."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: pa.Schema) -> DataFrame:
     """Applies ``fn`` (batch to a dict of columns) to Arrow batches; rows may change in number."""
 
@@ -59,4 +66,5 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, from_arrow_schema(schema))

@@ -25,32 +25,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_map, settle
+from .common import LOWER, arrow_map, settle, small_batches
 
 DEPTH = 6
 #: Depth of the subtrees that are learned in parallel; the nodes above are few (at most 256 ** 2 * 255).
 SPLIT = 3
-STOP, END = b" ", b"\n"
-#: Marks a junction among units; no byte of a text.
-JUNCTION = 0xFE
+BLANK, END = 0x20, 0x0A
+#: Bytes of the word before, and of the word, in a junction.
 TAIL, LEAD = 3, 3
+#: Stand in for the word of a junction, for the junction of a word, and for the word of a row's own sums; no text has these bytes.
+NO_WORD, NO_JUNCTION, OWN = b"\xfe", -1, b"\xff"
 HALF = math.log(0.5)
-#: Units held in every task with their scores: the commonest ones, a bounded table.
-HEAD = 1 << 18
+#: Words and junctions held in every task with their scores: the commonest ones, bounded tables.
+HEAD_WORDS, HEAD_JUNCTIONS = 1 << 18, 1 << 20
 #: Contexts up to which their code lengths are sent to every task; beyond, words are joined with them.
 MOST_SENT = 1 << 23
-#: Units counted in a task before they are passed on.
-FLUSH = 400_000
+#: Words counted in a task before they are passed on.
+FLUSH = 200_000
 
 
-def units_of(text: str | None) -> tuple[list[bytes], list[bytes]]:
-    """The words of a text, the empty one at its end, and its junctions, one a word."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    tails = [b"\xfe", *[b"\xfe" + w[-TAIL:] for w in words]]
-    starts = [b" " + w[:LEAD] if len(w) >= LEAD else b" " + w + STOP for w in words]
-    starts.append(b" " + END)
-    words.append(b"")
-    return words, [a + b for a, b in zip(tails, starts)]
+def split(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """The words of each text, the empty one at its end, and the junctions of all with the text each belongs to.
+
+    A junction is packed as [t3 t2 t1 h0 h1 h2]: the last bytes of the word before and the first
+    of the coded word, zeros where there are none (h1 is the blank after a word of one byte).
+    """
+    words, lines = [], []
+    for text in texts:
+        found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+        lines.append(b"\0\0\0 " + b" ".join(found) + (b" \n\0\0" if found else b"\n\0\0"))
+        found.append(b"")
+        words.append(found)
+    line = np.frombuffer(b"".join(lines), np.uint8)
+    at = np.flatnonzero(line == BLANK) + 1
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+    t1, t2, t3 = (line[at - k].astype(np.int64) for k in (2, 3, 4))
+    short = t2 == BLANK
+    t2[short] = 0
+    t3[short | (t3 == BLANK)] = 0
+    h0, h1, h2 = (line[at + k].astype(np.int64) for k in range(3))
+    h2[h1 == BLANK] = 0
+    return words, t3 << 40 | t2 << 32 | t1 << 24 | h0 << 16 | h1 << 8 | h2, owner
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -81,31 +96,32 @@ def mixed(n0: np.ndarray, n1: np.ndarray, children: np.ndarray) -> tuple[np.ndar
     return both, np.exp(own - both)
 
 
-def contexts(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of every byte that the units cover, and the unit each belongs to."""
-    parts, first, last, at = [], [], [], 0
-    for u in units:
-        if u[:1] == b"\xfe":
-            blank = u.index(b" ", 1)
-            line, skip = b"\0" * (DEPTH - blank) + u[1:], DEPTH
-        elif len(u) < LEAD:  # its junction covers it
-            line, skip = b"", 0
-        else:
-            line, skip = b"\0" * (DEPTH - 1) + STOP + u + STOP, DEPTH + LEAD
-        parts.append(line)
-        first.append(at + skip)
-        at += len(line)
-        last.append(at)
-    line = np.frombuffer(b"".join(parts), np.uint8)
-    sizes = np.array(last, np.int64) - np.array(first, np.int64)
-    owner = np.repeat(np.arange(len(units)), sizes)
-    place = np.arange(len(owner)) + np.repeat(np.array(first, np.int64) - (np.cumsum(sizes) - sizes), sizes)
+def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bytes of words that no junction covers, and the word each belongs to."""
+    lead = b"\0" * (DEPTH - 1) + b" "
+    line = np.frombuffer(b"".join([lead + w + b" " for w in words]), np.uint8)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.cumsum(size + DEPTH + 1) - size - 1
+    count = np.maximum(0, size + 1 - LEAD)
+    owner = np.repeat(np.arange(len(words)), count)
+    place = np.arange(len(owner)) + np.repeat(first + LEAD - (np.cumsum(count) - count), count)
     key = np.zeros(len(place), np.int64)
     for back in range(1, DEPTH + 1):
         key = (key << 8) | line[place - back]
     return (key << 8) | line[place], owner
 
 
+def junction_contexts(junctions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bytes that junctions cover, and the junction each belongs to."""
+    t3, t2, t1, h0, h1, h2 = ((junctions >> k) & 0xFF for k in range(40, -1, -8))
+    two = h0 != END
+    three = two & (h1 != BLANK)
+    one = BLANK << 48 | t1 << 40 | t2 << 32 | t3 << 24 | h0
+    second = (h0 << 48 | BLANK << 40 | t1 << 32 | t2 << 24 | t3 << 16 | h1)[two]
+    third = (h1 << 48 | h0 << 40 | BLANK << 32 | t1 << 24 | t2 << 16 | t3 << 8 | h2)[three]
+    return np.concatenate([one, second, third]), np.concatenate([np.arange(len(one)), np.flatnonzero(two), np.flatnonzero(three)])
+
+
 def subtrees(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
     """For sorted distinct keys with counts, whole subtrees of depth SPLIT and below.
 
@@ -191,54 +207,89 @@ class Top:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n): training count of every distinct unit of (held_out, text); the empty word is the texts' end."""
+    """(word, junction, n): training counts of all words and junctions of (held_out, text); the empty word is the texts' end."""
 
     def run(batches):
         counts: Counter = Counter()
         other: set = set()
+        joints: list[np.ndarray] = []
 
         def out():
             names = list(counts) + [w for w in other if w not in counts]
-            numbers = list(counts.values())
-            numbers += [0] * (len(names) - len(numbers))
-            batch = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(numbers, pa.int64())], names=["word", "n"])
+            numbers = np.zeros(len(names), np.int64)
+            numbers[: len(counts)] = np.fromiter(counts.values(), np.int64, len(counts))
+            learnt, n = np.unique(np.concatenate([j for h, j in joints if not h] or [np.empty(0, np.int64)]), return_counts=True)
+            more = np.setdiff1d(np.concatenate([j for h, j in joints if h] or [np.empty(0, np.int64)]), learnt)
+            k = len(learnt) + len(more)
+            batch = pa.RecordBatch.from_arrays([
+                pa.array(names + [NO_WORD] * k, pa.binary()), pa.array(np.concatenate([np.full(len(names), NO_JUNCTION), learnt, more])),
+                pa.array(np.concatenate([numbers, n, np.zeros(len(more), np.int64)])),
+            ], names=["word", "junction", "n"])
             counts.clear()
             other.clear()
+            joints.clear()
             return batch
 
+        size = 0
         for batch in batches:
-            for held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for units in units_of(text):
-                    (other if held else counts).update(units)
-                if len(counts) + len(other) > FLUSH:
-                    yield out()
-        if counts or other:
+            held = np.array(batch.column(0).to_pylist(), bool)
+            words, joint, owner = split(batch.column(1).to_pylist())
+            for h, w in zip(held, words):
+                (other if h else counts).update(w)
+            joints += [(True, joint[held[owner]]), (False, joint[~held[owner]])]
+            size += len(joint)
+            if len(counts) + len(other) > FLUSH or size > 20 * FLUSH:
+                yield out()
+                size = 0
+        if joints:
             yield out()
 
-    return docs.select("held_out", "text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("held_out", "text").mapInArrow(run, "word binary, junction long, n long").groupBy("word", "junction").agg(F.sum("n").alias("n"))
+
+
+def _units(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Words, junctions, and the rows of a batch (word, junction, ...) that each stands in."""
+    names, joint = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+    is_word = joint == NO_JUNCTION
+    at = np.flatnonzero(is_word)
+    return [names[i] for i in at], joint[~is_word], at, np.flatnonzero(~is_word)
+
+
+def _spread(batch: pa.RecordBatch):
+    """Keys of all contexts of a batch, in bounded pieces, with the row each belongs to."""
+    words, joint, word_rows, joint_rows = _units(batch)
+    for part in _slices(words):
+        keys, owner = contexts(words[part])
+        yield keys, word_rows[part][owner]
+    if len(joint):
+        keys, owner = junction_contexts(joint)
+        yield keys, joint_rows[owner]
 
 
 def _gather(words: DataFrame) -> DataFrame:
-    """(key, n) of every context of the words, with their training counts."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
-
-    def run(batch: pa.RecordBatch) -> dict | None:
-        names, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        if not names:
-            return None
-        found = []
-        for at in _slices(names):
-            keys, owner = contexts(names[at])
-            one, to = np.unique(keys, return_inverse=True)
-            total = np.zeros(len(one), np.int64)
-            np.add.at(total, to, n[at][owner])
-            found.append((one, total))
-        one, to = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-        total = np.zeros(len(one), np.int64)
-        np.add.at(total, to, np.concatenate([t for _, t in found]))
-        return {"key": one, "n": total}
-
-    return arrow_map(words, run, schema).groupBy("key").agg(F.sum("n").alias("n"))
+    """(key, n) of every context of the words and junctions, with their training counts."""
+    def out(parts):
+        keys, n = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return pa.RecordBatch.from_arrays([pa.array(keys[start]), pa.array(np.add.reduceat(n, start))], names=["key", "n"])
+
+    def run(batches):
+        parts, size = [], 0
+        for batch in batches:
+            n = batch.column(2).to_numpy()
+            for keys, rows in _spread(batch):
+                if len(keys):
+                    parts.append((keys, n[rows]))
+                    size += len(keys)
+            if size > 1 << 20:
+                yield out(parts)
+                parts, size = [], 0
+        if parts:
+            yield out(parts)
+
+    return words.select("word", "junction", "n").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _slices(names: list[bytes], most: int = 1 << 20) -> list[slice]:
@@ -254,15 +305,15 @@ def _slices(names: list[bytes], most: int = 1 << 20) -> list[slice]:
     return out
 
 
-def learn(words: DataFrame, chunk: int = 1 << 18) -> tuple[DataFrame, Top | None]:
-    """(key, one): the subtrees' estimates for every context of ``words``, and the nodes above.
+def learn(words: DataFrame, chunk: int = 1 << 16) -> tuple[DataFrame, Top | None]:
+    """(key, one): the subtrees' estimates (eight doubles) for every context of ``words``, and the nodes above.
 
     Contexts are dealt by their last SPLIT bytes, sorted, and learned in chunks of whole
     subtrees. Each task also sums its subtrees by the node above; those sums (at most
     256 ** (SPLIT - 1) * 255 rows, whatever the corpus) go to the driver.
     """
     spark = words.sparkSession
-    schema = pa.schema([("key", pa.int64()), ("one", pa.list_(pa.float64())), ("n0", pa.float64()), ("n1", pa.float64()), ("weighted", pa.float64()), ("top", pa.bool_())])
+    schema = pa.schema([("key", pa.int64()), ("one", pa.binary()), ("n0", pa.float64()), ("n1", pa.float64()), ("weighted", pa.float64()), ("top", pa.bool_())])
     shift = 8 * (DEPTH - SPLIT + 1)
 
     def run(batches):
@@ -272,8 +323,8 @@ def learn(words: DataFrame, chunk: int = 1 << 18) -> tuple[DataFrame, Top | None
             ones, tops = subtrees(keys, counts)
             nodes, n0, n1, weighted = (np.concatenate([t[i] for t in tops]) for i in range(4))
             none = pa.nulls(len(keys), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.FixedSizeListArray.from_arrays(pa.array(ones.ravel()), 8).cast(pa.list_(pa.float64())), none, none, none, pa.array(np.zeros(len(keys), bool))], schema=schema)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(nodes), pa.list_(pa.float64())), pa.array(n0), pa.array(n1), pa.array(weighted), pa.array(np.ones(len(nodes), bool))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.Array.from_buffers(pa.binary(64), len(keys), [None, pa.py_buffer(ones.tobytes())]).cast(pa.binary()), none, none, none, pa.array(np.zeros(len(keys), bool))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(nodes), pa.binary()), pa.array(n0), pa.array(n1), pa.array(weighted), pa.array(np.ones(len(nodes), bool))], schema=schema)
 
         size = 0
         for batch in batches:
@@ -294,7 +345,7 @@ def learn(words: DataFrame, chunk: int = 1 << 18) -> tuple[DataFrame, Top | None
     grams = _gather(words)
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = grams.withColumn("tree", F.shiftright("key", shift)).repartition(wide, "tree").sortWithinPartitions("key").select("key", "n")
-    found = settle(dealt.mapInArrow(run, "key long, one array<double>, n0 double, n1 double, weighted double, top boolean"))
+    found = settle(dealt.mapInArrow(run, "key long, one binary, n0 double, n1 double, weighted double, top boolean"))
     sums = found.where("top").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "weighted")])
     got = sums.toArrow()
     top = Top(*[got.column(c).to_numpy() for c in ("key", "n0", "n1", "weighted")]) if got.num_rows else None
@@ -302,18 +353,19 @@ def learn(words: DataFrame, chunk: int = 1 << 18) -> tuple[DataFrame, Top | None
 
 
 def word_scores(words: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
-    """(word, n, score): log10 probability of every word.
+    """(word, junction, n, score): log10 probability of what every word and junction covers.
 
     Where the contexts are at most ``most_sent`` their code lengths are sent to the tasks (16 bytes
     each); beyond that, every byte of every distinct word is joined with its context.
     """
     spark = words.sparkSession
+    words = words.select("word", "junction", "n")
     nodes, top = learn(words)
     schema = pa.schema([("key", pa.int64()), ("cost", pa.float64())])
 
     def price(batch: pa.RecordBatch) -> dict:
         keys = batch.column(0).to_numpy()
-        return {"key": keys, "cost": top.log10(keys, batch.column(1).values.to_numpy().reshape(-1, 8)) if len(keys) else np.empty(0)}
+        return {"key": keys, "cost": top.log10(keys, np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, 8))}
 
     costs = arrow_map(nodes, price, schema)
     if nodes.count() <= most_sent:
@@ -321,105 +373,108 @@ def word_scores(words: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
         keys, cost = table.column("key").to_numpy(), table.column("cost").to_numpy()
         order = np.argsort(keys)
         sent = spark.sparkContext.broadcast((keys[order], cost[order]))
-        out = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("score", pa.float64())])
+        out = pa.schema([("word", pa.binary()), ("junction", pa.int64()), ("n", pa.int64()), ("score", pa.float64())])
 
         def add(batch: pa.RecordBatch) -> dict:
             known, cost = sent.value
-            names = batch.column(0).to_pylist()
-            score = np.zeros(len(names))
-            for at in _slices(names):
-                keys, owner = contexts(names[at])
-                score[at] = np.bincount(owner, cost[np.searchsorted(known, keys)], at.stop - at.start)
-            return {"word": batch.column(0), "n": batch.column(1), "score": score}
+            score = np.zeros(batch.num_rows)
+            for keys, rows in _spread(batch):
+                score += np.bincount(rows, cost[np.searchsorted(known, keys)], batch.num_rows)
+            return {"word": batch.column(0), "junction": batch.column(1), "n": batch.column(2), "score": score}
 
         return arrow_map(words, add, out)
-    pairs = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("key", pa.int64())])
+    pairs = pa.schema([("word", pa.binary()), ("junction", pa.int64()), ("n", pa.int64()), ("key", pa.int64())])
 
     def spread(batches):
         for batch in batches:
-            names, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            for at in _slices(names):
-                keys, owner = contexts(names[at])
-                owner = owner + at.start
-                # words that junctions cover whole have no context of their own
-                bare = at.start + np.flatnonzero(np.bincount(owner - at.start, minlength=at.stop - at.start) == 0)
-                owner, keys = np.concatenate([owner, bare]), np.concatenate([keys, np.full(len(bare), -1)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(n[owner]), pa.array(keys)], schema=pairs)
+            seen = np.zeros(batch.num_rows, bool)
+            for keys, rows in _spread(batch):
+                seen[rows] = True
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(rows)) for i in range(3)] + [pa.array(keys)], schema=pairs)
+            bare = np.flatnonzero(~seen)  # the few words that junctions cover whole
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(bare)) for i in range(3)] + [pa.array(np.full(len(bare), -1))], schema=pairs)
 
-    rows = words.select("word", "n").mapInArrow(spread, "word binary, n long, key long")
-    return rows.join(costs, "key", "left").groupBy("word", "n").agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("score"))
+    rows = words.mapInArrow(spread, "word binary, junction long, n long, key long")
+    return rows.join(costs, "key", "left").groupBy("word", "junction", "n").agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("score"))
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, most_sent: int = MOST_SENT) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: tuple[int, int] = (HEAD_WORDS, HEAD_JUNCTIONS), most_sent: int = MOST_SENT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Rows with crc32(id) mod 10 = 0 are held out of the learning (a null id counts as the empty
     string). base_score is the unigram score with add-0.1 smoothing, score the mixture's. Null and
     empty texts are their end alone. Without training rows every count is 0 and every bit costs one bit.
-    The commonest ``head`` units are scored inside the scan; the others meet their scores in a
+    The commonest words and junctions (``head``) are scored inside the scan; the others meet their scores in a
     join, which so holds no hot key. Repeated rows are scored alike; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     words = settle(count_words(slim))
-    total, distinct = words.where(F.substring("word", 1, 1) != F.lit(bytes([JUNCTION]))).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.count_if(F.col("n") > 0), F.lit(0))).first()
-    rate = lambda c: math.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+    is_word = F.col("junction") == NO_JUNCTION
+    total, distinct = words.where(is_word).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.count_if(F.col("n") > 0), F.lit(0))).first()
+    mass = total + 0.1 * (distinct + 1)
     scored = settle(word_scores(words, most_sent))
-    common = scored.orderBy(F.desc("n"), "word").limit(head).toArrow()
-    sent = docs.sparkSession.sparkContext.broadcast(
-        {w: (0.0, s, 0) if w[:1] == b"\xfe" else (rate(n), s, n > 0) for w, n, s in zip(common.column("word").to_pylist(), common.column("n").to_pylist(), common.column("score").to_pylist())}
-    )
+    common = scored.where(is_word).orderBy(F.desc("n"), "word").limit(head[0]).select("word", "n", "score").toArrow()
+    joints = scored.where(~is_word).orderBy(F.desc("n"), "junction").limit(head[1]).select("junction", "score").toArrow()
+    n, joint = common.column("n").to_numpy(), joints.column("junction").to_numpy()
+    order = np.argsort(joint)
+    sent = docs.sparkSession.sparkContext.broadcast((
+        {w: i for i, w in enumerate(common.column("word").to_pylist())}, np.log10((n + 0.1) / mass), common.column("score").to_numpy(), n > 0,
+        joint[order], joints.column("score").to_numpy()[order],
+    ))
     schema = pa.schema([
-        ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("times", pa.int64()),
+        ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("junction", pa.int64()), ("times", pa.int64()),
         ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
     ])
 
     def run(batches):
         from pyspark import TaskContext
 
-        table, row = sent.value, TaskContext.get().partitionId() << 40
+        place, bases, scores, knowns, known_joints, joint_scores = sent.value
+        start = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows, ids, helds, names, times, tokens, knowns, bases, scores = ([] for _ in range(9))
-            for doc, held, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words, junctions = units_of(text)
-                n, known, base, score = len(words), 0, [], []
-                for units in (words, junctions):
-                    for w, c in Counter(units).items():
-                        if (found := table.get(w)) is not None:
-                            base.append(c * found[0])
-                            score.append(c * found[1])
-                            known += c * found[2]
-                        else:
-                            rows.append(row)
-                            names.append(w)
-                            times.append(c)
-                rest = len(rows) - len(ids)
-                ids += [doc] * rest
-                helds += [held] * rest
-                tokens += [0] * rest
-                knowns += [0] * rest
-                bases += [0.0] * rest
-                scores += [0.0] * rest
-                # the row's own sums; 0xFF and its number are no word, so this meets nothing
-                rows.append(row)
-                ids.append(doc)
-                helds.append(held)
-                names.append(b"\xff" + row.to_bytes(8, "big"))
-                times.append(0)
-                tokens.append(n)
-                knowns.append(known)
-                bases.append(math.fsum(base))
-                scores.append(math.fsum(score))
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((rows, ids, helds, names, times, tokens, knowns, bases, scores), schema)], schema=schema)
-
-    parts = slim.mapInArrow(run, "row long, doc_id long, held_out boolean, word binary, times long, n_tokens long, n_known long, base double, score double")
-    tail = scored.select("word", F.col("n").alias("c"), F.col("score").alias("own"))
+            m = batch.num_rows
+            words, joint, owner = split(batch.column(2).to_pylist())
+            sums, known = np.zeros((m, 2)), np.zeros(m, np.int64)
+            names, times, rows = [], [], np.zeros(m, np.int64)
+            for r, found in enumerate(words):
+                counts = Counter(found)
+                at = np.array([place.get(w, -1) for w in counts])
+                c = np.fromiter(counts.values(), np.int64, len(counts))
+                here = at >= 0
+                if not here.all():
+                    names += [w for w in counts if w not in place]
+                    times.append(c[~here])
+                    rows[r] = len(times[-1])
+                    at, c = at[here], c[here]
+                sums[r] = c @ bases[at], c @ scores[at]
+                known[r] = c @ knowns[at]
+            tail = [(np.repeat(np.arange(m), rows), names, np.full(len(names), NO_JUNCTION), np.concatenate(times) if times else np.empty(0, np.int64))]
+            at = np.minimum(np.searchsorted(known_joints, joint), max(0, len(known_joints) - 1))
+            here = known_joints[at] == joint if len(known_joints) else np.zeros(len(joint), bool)
+            if len(known_joints):
+                sums[:, 1] += np.bincount(owner[here], joint_scores[at[here]], m)
+            lone = int((~here).sum())
+            tail.append((owner[~here], [NO_WORD] * lone, joint[~here], np.ones(lone, np.int64)))
+            # the rows' own sums; OWN with the row's number meets nothing
+            tail.append((np.arange(m), [OWN] * m, start + np.arange(m), np.zeros(m, np.int64)))
+            of = np.concatenate([t[0] for t in tail])
+            k = len(of) - m
+            own = lambda x: np.concatenate([np.zeros(k, x.dtype), x])  # noqa: B023, E731
+            n = np.fromiter(map(len, words), np.int64, m)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(start + of), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array([w for t in tail for w in t[1]], pa.binary()),
+                pa.array(np.concatenate([t[2] for t in tail])), pa.array(np.concatenate([t[3] for t in tail])), pa.array(own(n)), pa.array(own(known)), pa.array(own(sums[:, 0])), pa.array(own(sums[:, 1])),
+            ], schema=schema)
+            start += m
+
+    parts = slim.mapInArrow(run, "row long, doc_id long, held_out boolean, word binary, junction long, times long, n_tokens long, n_known long, base double, score double")
+    tail = scored.select("word", "junction", F.col("n").alias("c"), F.col("score").alias("own"))
     c = F.coalesce("c", F.lit(0))
-    word = F.substring("word", 1, 1) != F.lit(bytes([JUNCTION]))
-    unigram = F.when(word, F.log10((c + F.lit(0.1)) / F.lit(total + 0.1 * (distinct + 1)))).otherwise(0.0)
-    met = parts.join(tail, "word", "left").select(
-        "row", "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.when(word & (c > 0), F.col("times")).otherwise(0)).alias("n_known"),
+    unigram = F.when(is_word, F.log10((c + F.lit(0.1)) / F.lit(mass))).otherwise(0.0)
+    met = parts.join(tail, ["word", "junction"], "left").select(
+        "row", "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.when(is_word & (c > 0), F.col("times")).otherwise(0)).alias("n_known"),
         (F.col("base") + F.col("times") * unigram).alias("base"), (F.col("score") + F.col("times") * F.coalesce("own", F.lit(0.0))).alias("score"),
     )
     return met.groupBy("row").agg(
