@@ -12,11 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import cut
 
 #: Lines in the rolling hash, its modulus for boundaries, and the most lines of a chunk.
 WINDOW, SPACING, LONGEST = 2, 3, 16
 PRIME = 1_000_003
+#: Rows with shared chunks up to which their places are sent to every task (some 200 bytes each);
+#: beyond, texts and places are shuffled by row.
+MOST_SENT = 200_000
 #: A chunk without a letter or digit is never removed.
 SOLID = r"[\p{L}\p{N}]"
 
@@ -49,7 +52,7 @@ def joined(lines: Column, span: Column) -> Column:
     return F.array_join(F.slice(lines, span["s"] + 1, span["n"]), "\n")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None, most_sent: int = MOST_SENT) -> DataFrame:
     """(doc_id, text, n_lines, removed_lines, removed_chunks) for every row; text is what stays.
 
     Of equal chunks of two lines or more the one with the least (doc_id, place) stays, a null id
@@ -66,20 +69,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("doc_id", "row", "span", joined(F.col("lines"), F.col("span")).alias("chunk")).where(F.regexp_like("chunk", F.lit(SOLID)))
     )
     key = F.xxhash64("chunk") if digest is None else digest
-    found = spans.select("doc_id", "row", "span", key.alias("h"), F.octet_length("chunk").alias("size"))
+    found = cut(spans.select("doc_id", "row", "span", key.alias("h"), F.octet_length("chunk").alias("size")))
     place = F.struct("doc_id", "row", F.col("span.s").alias("s"))
     shared = found.groupBy("h", "size").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").drop("times")
-    marks = (
+    marks = cut(
         found.join(shared, ["h", "size"]).groupBy("doc_id", "row")
         .agg(F.collect_set(F.struct("span.s", "span.n", "h", "size", F.coalesce((F.col("first.row") != F.col("row")) | (F.col("first.s") != F.col("span.s")), F.lit(True)).alias("later"))).alias("marks"))
     )
-    held = settle(base.join(marks.select(F.col("row").alias("__row"), F.col("doc_id").alias("__doc"), "marks"), (F.col("row") == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__row", "__doc"))
+    few = marks.count() <= most_sent
+    slim = marks.select(F.col("row").alias("__row"), F.col("doc_id").alias("__doc"), "marks")
+
+    def attach(how: str) -> DataFrame:
+        same = (F.col("row") == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__doc"))
+        return base.join(F.broadcast(slim) if few else slim, same, how).drop("__row", "__doc")
+
     # the bytes: chunks that share a digest are grouped by their texts
-    texts = held.where("marks IS NOT NULL").select("doc_id", "row", lines.alias("lines"), F.explode("marks").alias("m"))
+    texts = attach("inner").select("doc_id", "row", lines.alias("lines"), F.explode("marks").alias("m"))
     texts = texts.select("doc_id", "row", F.col("m.s").alias("s"), F.col("m.h").alias("h"), F.col("m.size").alias("size"), joined(F.col("lines"), F.col("m")).alias("chunk"))
     groups = texts.groupBy("h", "size", "chunk").agg(F.min(F.struct("doc_id", "row", "s")).alias("first"))
     mixed = groups.groupBy("h", "size").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    out = held
+    out = attach("left")
     if not mixed.isEmpty():  # digests that collide: each text has a first of its own
         own = texts.join(mixed, ["h", "size"]).join(groups, ["h", "size", "chunk"])
         own = own.where((F.col("first.row") == F.col("row")) & (F.col("first.s") == F.col("s"))).groupBy("row").agg(F.collect_set("s").alias("firsts"))
