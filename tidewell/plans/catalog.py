@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import prices, sql
+from . import prices, signals, sql
 
-_ALL = prices.QUERIES
+_ALL = prices.QUERIES | signals.QUERIES
 
 
 def queries() -> dict:
