@@ -7,6 +7,8 @@ looking at, and the item is verified around each hit with Myers's bit-parallel e
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -120,12 +122,27 @@ class Matcher:
         key = (i, window)
         got = self.seen.get(key)
         if got is None:
-            if len(self.seen) > 20_000:
+            if len(self.seen) > 2_000:
                 self.seen.clear()
             got = self.seen[key] = item.myers.best(window)
         return got
 
 
+#: The matcher a worker process holds, by the digest of its items: one at a time, kept over tasks.
+_held: dict[str, Matcher] = {}
+
+
+def _name(block: list[tuple[int, str]], rate: float) -> str:
+    return hashlib.md5(repr((block, rate)).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _matcher(name: str, block: list[tuple[int, str]], rate: float) -> Matcher:
+    if name not in _held:
+        _held.clear()
+        _held[name] = Matcher(block, rate)
+    return _held[name]
+
+
 def leaks(docs: DataFrame, items: DataFrame, rate: float = 0.06, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, end, distance, budget): every item that a document holds within its budget.
 
@@ -139,10 +156,10 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = 0.06, id_col: str = "
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("end", pa.int64()), ("distance", pa.int64()), ("budget", pa.int64())])
     def over(block: list[tuple[int, str]]) -> DataFrame:
-        held: dict = {}
+        block_name = _name(block, rate)
 
         def run(batch: pa.RecordBatch) -> dict:
-            matcher = held.get("m") or held.setdefault("m", Matcher(block, rate))
+            matcher = _matcher(block_name, block, rate)
             out: dict[str, list] = {f.name: [] for f in schema}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for i, end, d in matcher.find(normal(text or "")):
@@ -161,7 +178,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = 0.06, id_col: str = "
 
 def blocks(items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4_000_000):
     """The items that have a text, in lists of about ``block_bytes`` characters."""
-    rows = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text IS NOT NULL").orderBy("item_id", "text")
+    rows = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
     block, size = [], 0
     for r in rows.toLocalIterator():
         block.append((r["item_id"], r["text"]))
@@ -181,11 +198,11 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = 0.06, text_col: str =
 
 
 def _holds(block: list[tuple[int, str]], rate: float):
-    held: dict = {}
+    name = _name(block, rate)
 
     @F.pandas_udf("boolean")
     def holds(texts: pd.Series) -> pd.Series:
-        matcher = held.get("m") or held.setdefault("m", Matcher(block, rate))
+        matcher = _matcher(name, block, rate)
         return pd.Series([bool(matcher.find(normal(t or ""))) for t in texts], dtype=bool)
 
     return holds

@@ -8,6 +8,8 @@ the largest cosine with it. Signs are kept as bits, so binding is exclusive or.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,7 +23,7 @@ DIMENSIONS = 1024
 #: Code points whose vectors are held ready.
 READY = 2048
 #: Trigrams bundled at once.
-BLOCK = 8192
+BLOCK = 2048
 
 
 def _words(codes: np.ndarray) -> np.ndarray:
@@ -77,6 +79,12 @@ class Space:
         return total
 
 
+@functools.cache
+def the_space() -> Space:
+    """The process's own, kept over tasks."""
+    return Space()
+
+
 def prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most_languages: int = 10_000) -> dict[str, np.ndarray]:
     """Unit prototypes of the languages of ``docs``, of all its texts.
 
@@ -86,7 +94,7 @@ def prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     schema = pa.schema([("lang", pa.string()), ("place", pa.int32()), ("x", pa.float64())])
 
     def run(batches):
-        space, sums = Space(), {}
+        space, sums = the_space(), {}
         for batch in batches:
             held: dict[str, list] = {}
             sizes: dict[str, int] = {}
@@ -145,10 +153,10 @@ def predict(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_id
 
 def judge(known: dict[str, np.ndarray]):
     """A function from a text to (language, cosine, number of trigrams)."""
-    names, matrix, held = list(known), np.array(list(known.values())), {}
+    names, matrix = list(known), np.array(list(known.values()))
 
     def tag(text: str | None) -> tuple[str, float, int]:
-        space = held.get("space") or held.setdefault("space", Space())
+        space = the_space()
         keys, counts = np.unique(space.trigrams(text or ""), return_counts=True)
         if not len(keys) or not names:
             return "und", 0.0, 0

@@ -8,6 +8,7 @@ digests or identifiers (hash digests, UUIDs, dates, paths, dotted or dashed word
 from __future__ import annotations
 
 import base64
+import functools
 import re
 
 import pyarrow as pa
@@ -100,6 +101,12 @@ def scan(text: str, test: TokenEfficiency) -> tuple[list[tuple[int, int, str]],
     return base, sorted(base + added, key=place)
 
 
+@functools.lru_cache(maxsize=1)
+def _test(ranks: bytes, least: int, most_ratio: float) -> TokenEfficiency:
+    """The process's own, kept over tasks."""
+    return TokenEfficiency(ranks, least, most_ratio)
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, least: int = 20, most_ratio: float = 1.9) -> DataFrame:
     """(doc_id, base, spans): arrays of (start, end, kind) in code points, for every row.
 
@@ -113,10 +120,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ranks = f.read()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
     schema = pa.schema([("doc_id", pa.int64()), ("base", span), ("spans", span)])
-    held: dict = {}
 
     def run(batch: pa.RecordBatch) -> dict:
-        test = held.get("test") or held.setdefault("test", TokenEfficiency(ranks, least, most_ratio))
+        test = _test(ranks, least, most_ratio)
         found = [scan(t or "", test) for t in batch.column(1).to_pylist()]
         rows = lambda spans: [{"start": a, "end": b, "kind": k} for a, b, k in spans]
         return {"doc_id": batch.column(0), "base": [rows(b) for b, _ in found], "spans": [rows(a) for _, a in found]}
