@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import prices, signals, sql
+from . import prices, research, signals, sql
 
-_ALL = prices.QUERIES | signals.QUERIES
+_ALL = prices.QUERIES | signals.QUERIES | research.QUERIES
 
 
 def queries() -> dict:
