@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from ..streaming.heat import heat_stream
 from . import prices, research, signals, sql
 
-_ALL = prices.QUERIES | signals.QUERIES | research.QUERIES
+_ALL = prices.QUERIES | signals.QUERIES | research.QUERIES | {"heat_stream": (heat_stream, None)}
 
 
 def queries() -> dict:

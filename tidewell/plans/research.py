@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import backtest, decision, evidence, journal, scoring, timeseries, timing
 from ..sources import panels
 from . import prices, sql
+from .cuts import cut
 
 REFERENCE_DAY = "2024-07-01"
 RUN_FIELDS = ("run_id", "topic", "stance", "decision")
@@ -82,7 +83,7 @@ def site_match(spark, d):
 
 def _candidates(spark, d):
     """The top stocks of each sector with everything a recommendation reads; verdicts follow from the brand's number."""
-    b = panels.bars(spark, d)
+    b = cut(panels.bars(spark, d))  # days times codes: small, and read by five branches, which so scan the lines once
     f = timeseries.features(b)
     last = f.where("role = 'sector'").groupBy("sector").agg(F.max("date").alias("as_of"))
     top = scoring.ranked(scoring.stock_scores(scoring.as_of_features(f, last)), ["sector", "as_of"]).where("rank <= 3").select("sector", "code", "score", "coverage")
@@ -118,7 +119,7 @@ def sizing(spark, d):
 
 
 def publication_gate(spark, d):
-    b = panels.bars(spark, d)
+    b = cut(panels.bars(spark, d))
     f = timeseries.features(b)
     scored = scoring.sector_scores(f)
     s = scored.groupBy("sector").agg(F.max_by("coverage_20d", "date").alias("forecast_coverage"))
