@@ -20,14 +20,10 @@ BANDS = 4096
 def quality_weight(text: Column) -> Column:
     """A document's sampling weight, 0.25 to 1: the share of letters, digits and blanks in its text."""
     body = F.coalesce(text, F.lit(""))
-    odd = F.length(F.regexp_replace(body, r"[\p{L}\p{Nd}\s]+", ""))
+    odd = F.length(F.regexp_replace(body, r"[\p{L}\p{Nd}\x20\x09-\x0D]+", ""))
     return F.when(F.length(body) == 0, F.lit(0.25)).otherwise(1 - F.lit(0.75) * odd / F.length(body))
 
 
-def quality_weight_sql(text: str) -> str:
-    return f"CASE WHEN length({text}) = 0 THEN 0.25 ELSE 1 - CAST(0.75 AS DOUBLE) * length(regexp_replace({text}, '[\\p{{L}}\\p{{Nd}}\\s]+', '', 'g')) / length({text}) END"
-
-
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row, with the row's source and text digest.
 
@@ -111,3 +107,19 @@ def source_targets(sources: DataFrame, cap: float) -> DataFrame:
     w = w.withColumn("held", F.min(F.when(F.col("open"), F.struct("reach", F.coalesce("source", F.lit("")), "level"))).over(everything))
     target = F.least(F.col("most"), F.coalesce(F.col("weight") * F.col("held.level"), F.col("most")))
     return w.select("source", "source_size", target.alias("target"))
+
+
+SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS b, md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', md5(coalesce(text, '')))) AS dg FROM documents),
+e AS (SELECT doc_id, source, dg, len(regexp_extract_all(b, '{WORD}')) AS size, -ln((('0x' || substr(dg, 1, 12))::BIGINT + 1) / CAST({2**48 + 1} AS DOUBLE)) /
+  (CASE WHEN length(b) = 0 THEN 0.25::DOUBLE ELSE 1 - 0.75::DOUBLE * length(regexp_replace(b, '[\p{{L}}\p{{Nd}}\x20\x09-\x0D]+', '', 'g')) / length(b) END) AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM e GROUP BY 1),
+r AS (SELECT *, 3.0::DOUBLE * source_size AS most, (1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::DOUBLE AS w FROM s),
+l AS (SELECT *, most / w AS reach, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) /
+  sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+t AS (SELECT source, source_size, least(most, coalesce(w * (SELECT arg_min(level, reach) FROM l WHERE reach > level), most)) AS target FROM l),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-9) AS BIGINT) ELSE 0 END AS epochs FROM t),
+p AS (SELECT e.doc_id, e.size, g.*, coalesce(sum(e.size) OVER (PARTITION BY e.source ORDER BY e.key, e.dg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e JOIN g ON e.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 4) AS target,
+  CAST(epochs * size + greatest(0, least(size, CAST(round(target) AS BIGINT) - epochs * source_size - before)) AS BIGINT) AS taken FROM p
+"""

@@ -77,4 +77,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_line_dedup": linededup.SQL}
+    return {"op2_source_mixing": mixing.SQL, "op5_line_dedup": linededup.SQL}
