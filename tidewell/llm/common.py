@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 #: Regular expression class of the separators that the contracts name.
@@ -50,6 +51,24 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key that holds more than this share of all rows is hot, so there are at most 1 / HOT_SHARE such keys.
+HOT_SHARE = 1e-3
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], times: str = "times") -> DataFrame:
+    """Inner join of ``rows`` with one row a key of ``classes``, whose ``times`` says how many rows the key has.
+
+    Hot keys are few by their share (at most 1000), so they are sent to the rows where these are;
+    only rows of other keys are shuffled, and no task gathers a hot key. Both sides are read twice: cut them before.
+    """
+    total = classes.agg(F.sum(times)).first()[0] or 0
+    hot = F.col(times) > max(1.0, total * HOT_SHARE)
+    marked = rows.join(F.broadcast(classes.where(hot).withColumn("__hot", F.lit(True))), keys, "left")
+    here = marked.where("__hot").drop("__hot")
+    rest = marked.where("__hot IS NULL").select(*rows.columns).join(classes.where(~hot), keys)
+    return here.unionByName(rest).drop(times)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Keeps Arrow batches of long texts small, unless the session asks for less."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_map, cut
+from .common import LOWER, arrow_map, cut, join_classes
 from .components import components
 
 #: Pairs of a tile that are compared at once.
@@ -204,12 +204,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table gives no rows; other columns of ``docs`` are ignored.
     """
     marked = cut(fingerprints(docs, id_col, text_col, width))
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("times")))
     named = _roots(classes, radius, references).join(classes, "fp")
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     whole = named.join(least, "root").select("fp", "component_id")
-    per_class = classes.join(whole, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return marked.join(per_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    per_class = cut(classes.join(whole, "fp", "left").select("fp", "times", F.coalesce("component_id", "least_id").alias("component_id")))
+    return join_classes(marked, per_class, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, references: int = 16) -> DataFrame:
