@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_classes
 
 #: Bits to which each dimension is quantised.
 BITS = 6
@@ -78,13 +78,13 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     its own; an empty table gives no rows.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(
+    slim = cut(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
         F.xxhash64(body).alias("__text"), *[F.col(c).cast("string").alias(f"__dim{i}") for i, c in enumerate(categories)], *[F.col(c).alias(f"__keep_{c}") for c in keep],
-    )
+    ))
     dims = [f"__dim{i}" for i in range(len(categories))]
-    heads = slim.groupBy("__text", "size").agg(F.min(F.struct("doc_id", *dims)).alias("__head"))
-    placed = slim.drop(*dims).join(heads, ["__text", "size"]).select("*", *[F.col(f"__head.{d}").alias(d) for d in dims]).drop("__head")
+    heads = cut(slim.groupBy("__text", "size").agg(F.min(F.struct("doc_id", *dims)).alias("__head"), F.count("*").alias("times")))
+    placed = join_classes(slim.drop(*dims), heads, ["__text", "size"]).select("*", *[F.col(f"__head.{d}").alias(d) for d in dims]).drop("__head")
     placed = placed.withColumn("hilbert", curve(*[category(d) for d in dims], magnitude(F.col("size"))))
     spark = docs.sparkSession
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
