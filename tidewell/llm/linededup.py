@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_classes
 
 #: Lines in the rolling hash, its modulus for boundaries, and the most lines of a chunk.
 WINDOW, SPACING, LONGEST = 2, 3, 16
@@ -71,9 +71,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.xxhash64("chunk") if digest is None else digest
     found = cut(spans.select("doc_id", "row", "span", key.alias("h"), F.octet_length("chunk").alias("size")))
     place = F.struct("doc_id", "row", F.col("span.s").alias("s"))
-    shared = found.groupBy("h", "size").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").drop("times")
+    shared = cut(found.groupBy("h", "size").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1"))
     marks = cut(
-        found.join(shared, ["h", "size"]).groupBy("doc_id", "row")
+        join_classes(found, shared, ["h", "size"]).groupBy("doc_id", "row")
         .agg(F.collect_set(F.struct("span.s", "span.n", "h", "size", F.coalesce((F.col("first.row") != F.col("row")) | (F.col("first.s") != F.col("span.s")), F.lit(True)).alias("later"))).alias("marks"))
     )
     few = marks.count() <= most_sent
