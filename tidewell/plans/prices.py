@@ -295,7 +295,7 @@ states AS (
   SELECT *, CASE WHEN failed_breakout OR weekly_state = 'bearish' OR (daily_state = 'bearish' AND close < ma60) THEN 'blocked' WHEN weekly_state <> 'bullish' THEN 'no_setup'
     WHEN extended THEN 'extended' WHEN retest AND daily_state <> 'bearish' THEN 'retest' WHEN broke AND daily_state = 'bullish' THEN CASE WHEN volume_confirmed THEN 'triggered' ELSE 'triggered_unconfirmed' END
     WHEN daily_state <> 'bearish' AND near_breakout THEN 'watch' WHEN daily_state = 'bullish' THEN 'trend_only' WHEN daily_state = 'bearish' THEN 'mixed' ELSE 'no_setup' END AS state,
-    (1 - close / stop) * -100 AS risk_raw FROM st0)"""
+    (1 - close / stop) * 100 AS risk_raw FROM st0)"""
 _STATES_ALL = sql.with_(sql.BARS, _DAYS, _WSTATE, _STATES)
 _CAND = f"""
 sig AS (SELECT s.code, s.sector, s.date, s.rn, s.state, round(s.stop, 6) AS stop FROM states s WHERE s.state IN ('triggered', 'retest') AND s.date >= DATE '{START}'),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from ..operators import backtest, decision, evidence, journal, scoring, timeseries, timing
+from ..operators import backtest, brief, decision, evidence, journal, scoring, timeseries, timing
 from ..sources import panels
 from . import prices, sql
 from .cuts import cut
@@ -132,6 +132,47 @@ def publication_gate(spark, d):
     return decision.publication_gate(inputs).select("sector", *decision.CHECKS, "failed", "ready")
 
 
+def _last_features(spark, d):
+    f = _features(spark, d)
+    return f.where("role = 'stock'").groupBy("code").agg(F.max_by(F.struct(*[c for c in f.columns if c not in ("code", "role")]), "date").alias("f")).select("code", "f.*")
+
+
+def _features(spark, d):
+    return timeseries.features(panels.bars(spark, d))
+
+
+def trade_plan(spark, d):
+    """Entry, risk and stop of every stock on its last day; every third by its timing state, the others by the fallback."""
+    t = timing.states(panels.bars(spark, d).where("role = 'stock'")).groupBy("code").agg(*[F.max_by(c, "date").alias(n) for c, n in (("stop", "timing_stop"), ("risk_distance_pct", "timing_risk_pct"), ("review_2r", "timing_review"))])
+    third = F.regexp_extract("code", r"(\d+)", 1).try_cast("int") % 3 == 0
+    t = t.where(third)
+    p = brief.trade_plan(_last_features(spark, d).join(t, "code", "left"))
+    return p.select("code", "ma20_reference", "ma60_reference", "entry", "technical_risk_pct", "technical_stop", "review_level", "risk_method")
+
+
+def prediction_brief(spark, d):
+    """Scaffolds of the sectors on their last day: whether the terms contradict, and what is left to research."""
+    f = _features(spark, d)
+    s = scoring.sector_scores(f).groupBy("sector").agg(F.max_by("regime_5d", "date").alias("regime_5d"), F.max_by("regime_20d", "date").alias("regime_20d"))
+    last = f.where("role = 'sector'").groupBy("sector").agg(F.max("date").alias("as_of"))
+    c = scoring.ranked(scoring.stock_scores(scoring.as_of_features(f, last)), ["sector", "as_of"]).where("rank <= 3").select("sector", "code", "rank", "score")
+    b = brief.brief(s, c)
+    doc = F.struct("causal", "candidate_theses")
+    return b.select("sector", "contradicts", F.col("causal.contradiction").alias("contradiction"), F.size("candidate_theses").cast("long").alias("theses"), brief.has_todo(doc).alias("unfinished"), brief.todo_count(doc).alias("open_fields"), "status")
+
+
+def prediction_validation(spark, d):
+    """The forced sizes of ``sizing`` with faults planted by the brand's number, and what the validator finds."""
+    r = sizing(spark, d)
+    n = F.regexp_extract("code", r"(\d+)", 1).try_cast("int")
+    total = r.groupBy("sector").agg(F.sum("position_pct").alias("reported_total"))
+    x = r.join(total, "sector").withColumns({
+        "position_pct": F.when(n % 7 == 0, F.col("position_pct") + 10).otherwise(F.col("position_pct")), "action": F.when(n % 5 == 0, "sell").otherwise(F.col("action")), "buy_gate": n % 4 != 0, "timing_state": F.when(n % 3 == 0, "watch").otherwise("retest"),
+        "timing_gate": F.when(n % 2 == 0, "usable"), "technical_stop": F.when(n % 11 != 0, 1.0),
+    })
+    return brief.recommendation_errors(x, "conservative")
+
+
 def outlook_plan(spark, d):
     return decision.outlook_plan(decision.asked_outlooks(spark))
 
@@ -286,6 +327,24 @@ QUERIES = {
       fc AS (SELECT count(*) FILTER (page_id % 3 <> 0 AND page_id % 5 <> 0) AS nf FROM pages), nw AS (SELECT bool_and(passed) AS np FROM cg),
       k AS (SELECT g.sector, nf >= 3 AS facts_ok, coalesce(cov >= 0.75, false) AS forecast_ok, true AS selection_ok, evaluation_periods >= 20 AS periods_ok, candidate_observations >= 30 AS observations_ok, true AS costs_ok, mean_excess > 0 AND excess_hit_rate >= 0.5 AND median_net > 0 AS selector_ok, coalesce(np, false) AS news_ok, u AS signal_ok FROM g JOIN sel ON g.sector = sel.sector CROSS JOIN fc CROSS JOIN nw)
       SELECT *, failed = '' AS ready FROM (SELECT *, concat_ws(',', {', '.join(f"CASE WHEN NOT {c} THEN '{c}' END" for c in decision.CHECKS)}) AS failed FROM k)"""),
+    "trade_plan": (trade_plan, sql.with_(sql.BARS, sql.FEATURES, prices._DAYS, prices._WSTATE, prices._STATES) + """,
+      lf AS (SELECT * FROM features WHERE role = 'stock' QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1), ls AS (SELECT code, stop, risk_raw, close + 2 * (close - stop) AS rv FROM states WHERE CAST(regexp_extract(code, '(\\d+)', 1) AS INT) % 3 = 0 QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1),
+      q AS (SELECT lf.*, ls.stop AS ts, ls.risk_raw AS tr, ls.rv, CASE WHEN 1 + ma20_gap_pct / 100 > 0 THEN close / (1 + ma20_gap_pct / 100) END AS m20, greatest(6.0::DOUBLE, least(12.0::DOUBLE, 2.5::DOUBLE * coalesce(volatility_20d_annualized_pct / sqrt(252), 6.0::DOUBLE / 2.5::DOUBLE))) AS risk FROM lf LEFT JOIN ls ON lf.code = ls.code),
+      q2 AS (SELECT *, CASE WHEN 1 + ma20_vs_ma60_pct / 100 > 0 THEN m20 / (1 + ma20_vs_ma60_pct / 100) END AS m60, coalesce(tr > 0 AND ts IS NOT NULL, false) AS timed FROM q)
+      SELECT code, round(m20, 4) AS ma20_reference, round(m60, 4) AS ma60_reference, CASE WHEN ma20_gap_pct IS NULL THEN 'wait_for_data' WHEN ma20_gap_pct > 8 THEN 'do_not_chase' WHEN ma20_gap_pct >= -3 THEN 'staged' ELSE 'wait_for_recovery' END AS entry, round(CASE WHEN timed THEN tr ELSE risk END, 2) AS technical_risk_pct,
+        round(CASE WHEN timed THEN ts ELSE greatest(close * (1 - risk / 100), CASE WHEN m60 * 0.98::DOUBLE < close THEN m60 * 0.98::DOUBLE END) END, 4) AS technical_stop, round(CASE WHEN timed THEN rv ELSE close * (1 + 2 * risk / 100) END, 4) AS review_level, CASE WHEN timed THEN 'atr_and_prior_channel' ELSE 'volatility_and_ma60' END AS risk_method FROM q2"""),
+    "prediction_brief": (prediction_brief, sql.with_(sql.BARS, sql.FEATURES, prices._SCORED, prices._BREADTH, prices._SECTOR) + f""",
+      cur AS (SELECT sector, {sql.regime('arg_max(score_5d, date)')} AS r5, {sql.regime('arg_max(score_20d, date)')} AS r20, max(date) AS as_of FROM sector_scored GROUP BY 1),
+      tq AS (SELECT c.sector, c.as_of, m.code FROM cur c JOIN members m ON c.sector = m.sector), tn AS (SELECT q.sector, least(3, count(*)) AS n FROM tq q ASOF JOIN scored s ON q.code = s.code AND q.as_of >= s.date WHERE s.score IS NOT NULL AND s.coverage >= 0.75 GROUP BY 1)
+      SELECT cur.sector, r5 <> r20 AS contradicts, CASE WHEN r5 <> r20 THEN 'short term ' || r5 || ', medium term ' || r20 || ': why do they part?' ELSE 'both terms ' || r5 || ': is it borne out by fundamentals?' END AS contradiction, coalesce(n, 0) AS theses, true AS unfinished,
+        {2 * len(brief.ACTORS) + len(brief.CAUSAL_FIELDS)} + {len(brief.THESIS_FIELDS)} * coalesce(n, 0) AS open_fields, 'research_scaffold_not_publication_ready' AS status FROM cur LEFT JOIN tn ON cur.sector = tn.sector"""),
+    "prediction_validation": (prediction_validation, _ALL + _FORCED + "," + _recommended("conservative") + """,
+      x AS (SELECT sector, code, CAST(regexp_extract(code, '(\\d+)', 1) AS INT) AS n, action AS a0, position_pct AS p0, sum(position_pct) OVER (PARTITION BY sector) AS rep FROM rec),
+      y AS (SELECT *, CASE WHEN n % 5 = 0 THEN 'sell' ELSE a0 END AS act, CASE WHEN n % 7 = 0 THEN p0 + 10 ELSE p0 END AS pos FROM x),
+      z AS (SELECT sector, code, unnest(list_filter([CASE WHEN act = 'sell' THEN 'invalid action' END, CASE WHEN pos < 0 OR pos > 3 + 1e-9 THEN 'position exceeds single-name cap' END, CASE WHEN act = 'buy' AND pos <= 0 THEN 'buy has no position' END, CASE WHEN act = 'buy' AND n % 4 = 0 THEN 'buy failed a gate' END,
+        CASE WHEN act = 'buy' AND n % 11 = 0 THEN 'buy lacks a stop' END, CASE WHEN act = 'buy' AND n % 3 = 0 THEN 'buy lacks a timing state' END, CASE WHEN act = 'buy' AND n % 2 <> 0 THEN 'buy lacks a usable timing test' END, CASE WHEN act <> 'buy' AND pos <> 0 THEN 'other action has a position' END], lambda e: e IS NOT NULL)) AS error FROM y),
+      t AS (SELECT sector, sum(pos) AS t, max(rep) AS r FROM y GROUP BY 1)
+      SELECT sector, code, error FROM z UNION ALL SELECT sector, NULL, 'theme cap exceeded' FROM t WHERE t > 10 + 1e-6 UNION ALL SELECT sector, NULL, 'reported total differs' FROM t WHERE abs(t - r) > 0.02"""),
     "outlook_plan": (outlook_plan, f"""WITH a AS (SELECT * FROM (VALUES ('1d'), ('5d'), ('20d'), ('60d'), ('12m')) h(horizon) CROSS JOIN (VALUES ('premarket'), ('intraday'), ('after_close'), ('structural')) s(session) CROSS JOIN (VALUES ('unknown'), ('rumor'), ('confirmed_material')) e(event_state)),
       b AS (SELECT *, CASE WHEN session = 'structural' OR horizon IN ('60d', '12m') THEN 'structural' WHEN event_state = 'confirmed_material' THEN 'confirmed' WHEN event_state = 'rumor' THEN 'rumor' WHEN session = 'premarket' THEN 'premarket' ELSE 'default' END AS branch FROM a),
       c AS (SELECT *, CASE branch {_ORD} END AS st FROM b) SELECT horizon, session, event_state, branch, CAST(unnest(range(len(st))) AS INT) AS position, unnest(st) AS stage FROM c"""),
@@ -296,6 +355,9 @@ QUERIES = {
     "journal_stats": (_stats("none"), _JRUN + f" SELECT 'all' AS key, {_STAT} FROM runs r LEFT JOIN latest l ON r.run_id = l.run_id GROUP BY 1"),
     "journal_stats_stance": (_stats("stance"), _JRUN + f" SELECT stance AS key, {_STAT} FROM runs r LEFT JOIN latest l ON r.run_id = l.run_id GROUP BY 1"),
     "journal_stats_tag": (_stats("tag"), _JRUN + f", x AS (SELECT *, unnest(CASE WHEN len(tags) > 0 THEN tags ELSE ['untagged'] END) AS key FROM runs) SELECT key, {_STAT} FROM x r LEFT JOIN latest l ON r.run_id = l.run_id GROUP BY 1"),
+    "journal_stats_horizon": (_stats("horizon"), _JRUN + f" SELECT CAST(days AS VARCHAR) || 'd' AS key, {_STAT} FROM runs r LEFT JOIN latest l ON r.run_id = l.run_id GROUP BY 1"),
+    "journal_stats_decision": (_stats("decision"), _JRUN + f" SELECT decision AS key, {_STAT} FROM runs r LEFT JOIN latest l ON r.run_id = l.run_id GROUP BY 1"),
+    "journal_stats_instrument": (_stats("instrument"), _JRUN + f" SELECT code AS key, {_STAT} FROM runs r LEFT JOIN latest l ON r.run_id = l.run_id GROUP BY 1"),
     "journal_verify": (journal_verify, _JRUN + " SELECT 'run fingerprint mismatch' AS problem, run_id AS id FROM runs WHERE run_id % 97 = 0 UNION ALL SELECT 'review without run', review_id FROM reviews WHERE run_id NOT IN (SELECT run_id FROM runs)"),
     "run_comparison": (run_comparison, _JRUN + " SELECT r.run_id, r.as_of, CAST(r.days AS VARCHAR) || 'd' AS horizon, r.stance, r.decision, observed_at, thesis_status, realized, benchmark, excess, decision_quality FROM runs r LEFT JOIN latest l ON r.run_id = l.run_id WHERE r.run_id IN (1, 2, 3, 5, 8, 13, 21)"),
     "auto_review": (auto_review, _REVIEW + """ SELECT run_id, code, entry_date, exit_date, round(realized, 4) AS realized_return_pct, round(bench, 4) AS benchmark_return_pct, round(ex, 4) AS excess_return_pct, round(mdd, 4) AS max_drawdown_pct, st AS thesis_status,

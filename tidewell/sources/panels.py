@@ -44,7 +44,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.max(F.round(100.0 * F.col("l_discount")).cast("long")).alias("dm"), F.max(F.round(100.0 * F.col("l_tax")).cast("long")).alias("tm"), F.sum(F.col("l_quantity").cast("long")).alias("volume"),
         )
     )
-    sector = F.concat(F.lit("S"), F.pmod(F.regexp_extract("brand", r"(\d+)", 1).cast("int"), F.lit(SECTORS)).cast("string"))
+    sector = F.concat(F.lit("S"), F.pmod(F.regexp_extract("brand", r"(\d+)", 1).try_cast("int"), F.lit(SECTORS)).cast("string"))
     day = day.withColumn("sector", sector)
     up = [F.sum(c).alias(c) for c in ("n", "ds", "ts")] + [F.max(c).alias(c) for c in ("dm", "tm")] + [F.sum("volume").alias("volume")]
     one = day.select(F.lit("stock").alias("role"), F.col("brand").alias("code"), "sector", "date", "n", "ds", "ts", "dm", "tm", "volume")
@@ -53,7 +53,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = one.unionByName(two).unionByName(three)
     # role and sector follow from the code, so they ride along instead of joining back
     role = F.when(F.col("code") == "MKT", "market").when(F.col("code").startswith("S"), "sector").otherwise("stock")
-    number = F.pmod(F.regexp_extract("code", r"(\d+)", 1).cast("int"), F.lit(SECTORS)).cast("string")
+    number = F.pmod(F.regexp_extract("code", r"(\d+)", 1).try_cast("int"), F.lit(SECTORS)).cast("string")
     return _walk(daily).select(role.alias("role"), "code", F.when(F.col("code") != "MKT", F.concat(F.lit("S"), number)).alias("sector"), "date", "open", "high", "low", "close", "volume")
 
 
