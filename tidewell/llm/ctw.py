@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -440,17 +441,19 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             names, times, rows = [], [], np.zeros(m, np.int64)
             for r, found in enumerate(words):
                 counts = Counter(found)
-                at = np.array([place.get(w, -1) for w in counts])
+                at = np.fromiter(map(place.get, counts, repeat(-1)), np.int64, len(counts))
                 c = np.fromiter(counts.values(), np.int64, len(counts))
                 here = at >= 0
                 if not here.all():
-                    names += [w for w in counts if w not in place]
+                    names += compress(counts, (~here).tolist())
                     times.append(c[~here])
                     rows[r] = len(times[-1])
                     at, c = at[here], c[here]
                 sums[r] = c @ bases[at], c @ scores[at]
                 known[r] = c @ knowns[at]
             tail = [(np.repeat(np.arange(m), rows), names, np.full(len(names), NO_JUNCTION), np.concatenate(times) if times else np.empty(0, np.int64))]
+            order = np.argsort(joint)  # sorted lookups walk the table once
+            joint, owner = joint[order], owner[order]
             at = np.minimum(np.searchsorted(known_joints, joint), max(0, len(known_joints) - 1))
             here = known_joints[at] == joint if len(known_joints) else np.zeros(len(joint), bool)
             if len(known_joints):
