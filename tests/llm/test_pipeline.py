@@ -1,13 +1,14 @@
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewell.llm import decontaminate, langid
+from tidewell.llm import decontaminate, hilbert, langid, mixing
 
 from .fixtures import frame
 from .test_mixing import slow_targets
-from .test_simhash import slow_components, slow_fingerprint
+from .test_shingles import slow_components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -45,12 +46,7 @@ def test_language(spark, steps):
 
 def test_near_duplicates(steps):
     before, after, _ = steps[1]
-    comp = slow_components([slow_fingerprint(r[1]) for r in before])
-    first = {}
-    for r in before:
-        c = comp[slow_fingerprint(r[1])]
-        first[c] = min(first.get(c, r), r, key=lambda r: r[0])
-    assert sorted(map(tuple, after)) == sorted(first.values())
+    assert sorted(map(tuple, after)) == sorted(min(group, key=lambda r: r[0]) for group in slow_components(before))
 
 
 def test_decontamination(spark, sf_dir, steps):
@@ -82,12 +78,49 @@ def test_sharding(steps):
     assert all(c == list(range(len(c))) for c in counts) and max(map(len, counts)) - min(map(len, counts)) <= 1
 
 
-def test_edge_rows_through_every_stage(spark, sf_dir):
-    for data in (None, []):
-        docs = frame(spark, data).drop("size", "fp", "key", "shard")
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, sf_dir)
+def test_edge_rows_through_every_stage(spark, sf_dir, tmp_path):
+    """Awkward rows, an empty table, and columns named like the stages' own."""
+    extra = {"__row": "x", "__s": "y", "__plan": "z", "__tag": "t", "__digest": "d", "__times": "e", "__at": "a", "__point": "p", "slot": "s"}
+    for k, data in enumerate((None, [])):
+        docs = frame(spark, data)
+        for name, value in extra.items():
+            docs = docs.withColumn(name, F.lit(value))
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, sf_dir).write.parquet(str(tmp_path / f"{k}{name}"))
+            docs = spark.read.parquet(str(tmp_path / f"{k}{name}"))
+            assert docs.columns[: len(columns)] == ([f"{c}_in" if c in ("shard", "slot") else c for c in columns] if name == "hilbert_sharding" else columns)
+        assert docs.columns[len(columns) :] == ["shard", "slot"]
         assert docs.count() >= (5 if data is None else 0)
+        assert all(r["__row"] == "x" and r["slot_in"] == "s" for r in docs.collect())
+
+
+TWINS = [
+    (1, None, "en", "a", 1), (1, "", "de", "b", 2), (2, "one two three", "en", "a", 3), (2, "one two three", "de", "b", 4), (2, "one two three", "de", "b", 4),
+    (2, "one two three", "de", None, 4), (2, "one two three", "de", "", 4), (None, "one two three", "de", "", 4), (3, "four five", None, "a", None), (3, "four five", "", "a", 0),
+]
+
+
+def test_rows_alike_in_id_and_text_keep_their_own_columns(spark, sf_dir):
+    """Same id and text with another source, null against empty text, repeated rows."""
+    docs = spark.createDataFrame(TWINS, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)
+    out = stage["hilbert_sharding"](spark, docs, sf_dir).collect()
+    assert Counter(tuple(r)[:5] for r in out) == Counter(TWINS)
+    for most_sent in (0, 100):
+        assert Counter(tuple(r)[:5] for r in hilbert.sharded_rows(docs, 3, most_sent=most_sent).collect()) == Counter(TWINS)
+    for repeat in (1, 40):
+        got = Counter(map(tuple, stage["source_mixing"](spark, spark.createDataFrame(TWINS * repeat, docs.schema), sf_dir).collect()))
+        took = Counter()
+        for r in mixing.mix(spark.createDataFrame(TWINS * repeat, docs.schema)).collect():
+            took[r["source"]] += r["taken"]
+        words = Counter()
+        for r, n in got.items():
+            words[r[3]] += n * len((r[1] or "").split())
+        assert set(got) <= set(TWINS) and all(abs(words[s] - took[s]) <= 1.5 for s in took)
+    kept = stage["simhash_near_dedup"](spark, docs, sf_dir).collect()
+    assert {tuple(r) for r in kept} <= set(TWINS)
+    assert sorted((r["doc_id"] for r in kept), key=str) == [1, 2, 3]
 
 
 def test_run(spark, sf_dir):

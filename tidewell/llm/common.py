@@ -7,8 +7,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
 #: Regular expression class of the separators that the contracts name.
@@ -24,8 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset on one machine
+    (tests) a temporary folder takes its place. A cluster without one is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -33,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -51,6 +54,35 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have: ``name``, with as many more underscores as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_digest(df: DataFrame) -> Column:
+    """128 bits (hex) over all columns of a row; null is told from empty. Rows share it only if they are equal."""
+
+    def one(field: T.StructField) -> Column:
+        column, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.md5(column.cast("binary")), F.lit("-"))
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.md5(F.to_json(F.struct(column.alias("x")), {"ignoreNullFields": "false"})), F.lit("-"))
+        return F.coalesce(column.cast("string"), F.lit("-"))
+
+    return F.md5(F.concat_ws("|", *[one(f) for f in df.schema.fields]))
+
+
+def repeated(df: DataFrame, times: Column, block: int = 1 << 16) -> DataFrame:
+    """Each row as often as ``times`` says (0: not at all), made in blocks so that no array grows with the count."""
+    at = free(df, "__at")
+    blocks = df.withColumn(at, F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times.cast("long") - 1, F.lit(block).cast("long")))))
+    return blocks.withColumn(at, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(block).cast("long"), times.cast("long") - F.col(at))))).select(*[f"`{c}`" for c in df.columns])
+
+
 #: A key that holds more than this share of all rows is hot, so there are at most 1 / HOT_SHARE such keys.
 HOT_SHARE = 1e-3
 

@@ -7,10 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_classes
+from .common import cut, free, join_classes, row_digest, settle
 
 #: Bits to which each dimension is quantised.
 BITS = 6
+#: Texts (32 bytes each) up to which the curve indexes of copies that would lie apart are sent to every task.
+MOST_SENT = 200_000
 
 
 def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -66,52 +68,77 @@ def magnitude(size: Column) -> Column:
     return F.least(F.floor(F.log(size.cast("double") + 1) / np.log(1.3)), F.lit(2**BITS - 1))
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = ("lang", "source"), keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, size, text_crc32, hilbert, shard, slot), and the columns in ``keep``, for every row.
+def _ordered(docs: DataFrame, columns: list[str], id_col: str, text_col: str, categories: tuple[str, ...], most_sent: int) -> tuple[DataFrame, str]:
+    """``columns`` of every row and a struct (doc_id, size, text_crc32, hilbert, at), written down in the order of the curve; the struct's name.
 
-    Dimensions are the categories and the size of the text (UTF-8 bytes plus 8). Rows are sorted
-    by curve index and the sorted run is cut into ``shards`` runs whose counts are at most one
-    apart; slot counts from 0 in each. Equal texts take the metadata of their least
-    (doc_id, categories), so they lie side by side on the curve whatever source names them, and a
-    group is divided only where a cut falls into it. The sort is a range partitioning, so no
-    task holds a whole group of copies. Null texts count as empty; a null category is a cell of
-    its own; an empty table gives no rows.
+    ``at`` holds the partition in its upper bits and the row's place in it below.
     """
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    slim = cut(docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
-        F.xxhash64(body).alias("__text"), *[F.col(c).cast("string").alias(f"__dim{i}") for i, c in enumerate(categories)], *[F.col(c).alias(f"__keep_{c}") for c in keep],
-    ))
-    dims = [f"__dim{i}" for i in range(len(categories))]
-    heads = cut(slim.groupBy("__text", "size").agg(F.min(F.struct("doc_id", *dims)).alias("__head"), F.count("*").alias("times")))
-    placed = join_classes(slim.drop(*dims), heads, ["__text", "size"]).select("*", *[F.col(f"__head.{d}").alias(d) for d in dims]).drop("__head")
-    placed = placed.withColumn("hilbert", curve(*[category(d) for d in dims], magnitude(F.col("size"))))
     spark = docs.sparkSession
+    p, h, m = free(docs, "__point"), free(docs, "__hilbert"), free(docs, "__body")
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    size = (F.octet_length(body) + 8).cast("long")
+    point = F.struct(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), *([row_digest(docs).alias("row")] if columns else []))
+    index = curve(*[category(c) for c in categories], magnitude(size))
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], point.alias(p), F.unhex(F.md5(body)).alias(m), index.alias(h))
+    first = F.min(F.struct(F.col(f"{p}.doc_id"), F.col(h))).alias("first")
+    texts = cut(rows.groupBy(m).agg(first, F.count("*").alias("times"), (F.min(h) != F.max(h)).alias("apart")).select(m, F.col(f"first.{h}").alias("__first"), "times", "apart"))
+    apart = texts.where("apart").select(m, "__first")
+    if apart.count() <= most_sent:
+        rows = rows.join(F.broadcast(apart), m, "left").withColumn(h, F.coalesce("__first", h)).drop("__first")
+    else:
+        rows = settle(join_classes(rows, texts.select(m, F.col("__first").alias("__other"), F.col("times").alias("__times")), [m], "__times").withColumn(h, F.col("__other")).drop("__other"))
+    seq = free(docs, "__seq")
+    by = [F.col(h), F.col(f"{p}.size"), F.col(m), F.col(f"{p}.doc_id"), *([F.col(f"{p}.row")] if columns else []), F.col(seq)]
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by = ["hilbert", "size", "__text", "doc_id"]
-    ordered = cut(
-        placed.drop(*dims).repartitionByRange(wide, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
-    )  # the ids hold the partition (upper bits) and the row's place in it
-    task, place = F.shiftright("__at", 33).cast("int"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = rows.withColumn(seq, F.monotonically_increasing_id()).repartitionByRange(wide, *by).sortWithinPartitions(*by)
+    kept = F.struct(f"{p}.doc_id", f"{p}.size", f"{p}.text_crc32", F.col(h).alias("hilbert"), F.monotonically_increasing_id().alias("at"))
+    return settle(dealt.select(*[F.col(f"`{c}`") for c in columns], kept.alias(p))), p
+
+
+def _numbered(ordered: DataFrame, p: str, shards: int) -> tuple[DataFrame, Column, Column]:
+    """The rows with the number of rows before their partition, and columns for shard and slot."""
+    spark = ordered.sparkSession
+    task, place = F.shiftright(f"{p}.at", 33).cast("int"), F.col(f"{p}.at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted((r["task"], r["count"]) for r in ordered.groupBy(task.alias("task")).count().collect())  # a row for each partition
     total = sum(n for _, n in counts)
     before, offsets = 0, []
     for t, n in counts:
         offsets.append((t, before))
         before += n
-    starts = F.broadcast(spark.createDataFrame(offsets, "task int, before long"))  # as many rows as partitions
-    rank = F.col("before") + place
-    shard = F.expr(f"rank * {shards} div {max(1, total)}")
-    first = F.expr(f"(shard * {max(1, total)} + {shards - 1}) div {shards}")
-    return (
-        ordered.join(starts, task == F.col("task")).withColumn("rank", rank).withColumn("shard", shard.cast("int")).withColumn("slot", F.col("rank") - first.cast("long"))
-        .select("doc_id", "size", "text_crc32", "hilbert", "shard", "slot", *[F.col(f"__keep_{c}").alias(c) for c in keep])
-    )
-
-
-def sharded_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """The rows of ``docs``, all columns, with their shard and slot. Only digests are sorted; texts are joined to their places."""
-    row = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.withColumn("__row", row)
-    places = hilbert_shards(keyed, shards, id_col, text_col, categories, keep=("__row",)).groupBy("__row").agg(F.collect_list(F.struct("shard", "slot")).alias("__places"))
-    return keyed.dropDuplicates(["__row"]).join(places, "__row").select(*docs.columns, F.inline("__places"))
+    n, t, r = free(ordered, "__before"), free(ordered, "__task"), free(ordered, "__rank")
+    starts = F.broadcast(spark.createDataFrame(offsets, f"{t} int, {n} long"))  # as many rows as partitions
+    rows = ordered.join(starts, task == F.col(t)).withColumn(r, F.col(n) + place)
+    shard = F.expr(f"cast({r} * {shards} div {max(1, total)} as int)")
+    first = F.expr(f"({r} * {shards} div {max(1, total)} * {max(1, total)} + {shards - 1}) div {shards}")
+    return rows, shard, (F.col(r) - first).cast("long")
+
+
+def hilbert_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = ("lang", "source"), most_sent: int = MOST_SENT) -> DataFrame:
+    """(doc_id, size, text_crc32, hilbert, shard, slot) for every row.
+
+    Dimensions are the categories and the size of the text (UTF-8 bytes plus 8). Rows are sorted
+    by curve index and the sorted run is cut into ``shards`` runs whose counts are at most one
+    apart; slot counts from 0 in each. Equal texts take the index of their least
+    (doc_id, index), so they lie side by side on the curve whatever source names them, and a
+    group is divided only where a cut falls into it. The sort is a range partitioning whose last key is a
+    row's number, so no task holds a whole group of copies. Indexes of copies that would lie apart are sent to
+    the rows up to ``most_sent`` texts and joined beyond. Null texts count as empty; a null category is a cell of
+    its own; ties are ordered by size, text digest and doc_id, and by nothing among equal rows; other columns are
+    ignored, whatever their names; an empty table gives no rows.
+    """
+    rows, shard, slot = _numbered(*_ordered(docs, [], id_col, text_col, categories, most_sent), shards)
+    p = rows.columns[0]
+    return rows.select(f"{p}.doc_id", f"{p}.size", f"{p}.text_crc32", f"{p}.hilbert", shard.alias("shard"), slot.alias("slot"))
+
+
+def sharded_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = ("lang", "source"), most_sent: int = MOST_SENT) -> DataFrame:
+    """The rows of ``docs``, all columns, with their shard and slot as in ``hilbert_shards``.
+
+    Whole rows are sorted, so each keeps its own columns (repeated rows take neighbouring slots) and the files written
+    from the result hold runs of the curve, whose statistics prune them. A column of ``docs`` that is named shard or slot
+    is kept as shard_in or slot_in.
+    """
+    ordered, p = _ordered(docs, docs.columns, id_col, text_col, categories, most_sent)
+    rows, shard, slot = _numbered(ordered, p, shards)
+    own = [F.col(f"`{c}`").alias(free(docs, f"{c}_in") if c.lower() in ("shard", "slot") else c) for c in docs.columns]
+    return rows.select(*own, shard.alias("shard"), slot.alias("slot"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, free
 
 #: Signs of a vector; a multiple of 64.
 DIMENSIONS = 1024
@@ -194,10 +194,13 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Texts that are ``und`` go, and so do those of ``long`` trigrams or more that resemble no language
     (cosine below ``least``): lists of symbols, one word over and over. Short texts stay, as little can be told from them.
+    Null and letterless texts are ``und``, so they go; rows that repeat have one fate; every row that stays keeps its own
+    columns, whatever their names; an empty table gives no rows.
     """
     known = prototypes(docs.where(~is_held_out(id_col)), lang_col, text_col)
-    tagged = docs.withColumn("__tag", tagger(known)(F.col(text_col)))
-    return tagged.where((F.col("__tag.lang") != "und") & ((F.col("__tag.score") >= least) | (F.col("__tag.trigrams") < long))).drop("__tag")
+    tag = free(docs, "__tag")
+    tagged = docs.withColumn(tag, tagger(known)(F.col(text_col)))
+    return tagged.where((F.col(f"{tag}.lang") != "und") & ((F.col(f"{tag}.score") >= least) | (F.col(f"{tag}.trigrams") < long))).drop(tag)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:

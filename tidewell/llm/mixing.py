@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, free, repeated, row_digest
 
-#: Bands of the sampling key in each source. The band that holds the cut is ranked, about
-#: 1/BANDS of the source.
-BANDS = 4096
+#: Rows that a band of the sampling key holds on average, so that the ranked band does not grow with the corpus.
+BAND_ROWS = 1 << 15
 
 
 def quality_weight(text: Column) -> Column:
@@ -24,69 +23,113 @@ def quality_weight(text: Column) -> Column:
     return F.when(F.length(body) == 0, F.lit(0.25)).otherwise(1 - F.lit(0.75) * odd / F.length(body))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row, with the row's source and text digest.
+def _sampled(docs: DataFrame, id_col: str, text_col: str, source_col: str, whole: bool) -> Column:
+    """What sampling needs of a row, as a struct: a function of the row alone, so every pass over the table agrees.
 
-    size is the number of words. Sources in order of code points, null last, weigh 1, 2, 3 in
-    turn and share the sum of all sizes; a target stops at ``cap`` times its source's size and
-    the excess goes to the others by weight. A source first gives whole epochs; the rest is
-    selected in the order of keys -ln(u) / weight (u from a digest of id and text, weight from
-    ``quality_weight``), documents being taken until the budget is met. The document in which it
-    is met gives only the words that are left, so the source's sum is its target to the word.
-    Null text has size 0 and takes 0. Repeated rows are ordered among themselves by nothing but
-    their place, which changes no multiset of results. An empty table gives no rows.
+    Where ``whole`` is set it holds the digest of all columns too.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
-    name = F.col(source_col).cast("string")
-    digest = _digest(id_col, text_col)
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(body)))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 1) / F.lit(2.0**48 + 1)
-    slim = cut(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"), name.alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"),
-            quality_weight(F.col(text_col)).alias("weight"), u.alias("u"), digest.alias("digest"),
-        ).withColumn("key", -F.log("u") / F.col("weight"))
-        # exp(-key) lies in (0, 1) and falls as the key rises, so bands of it are bands of the key
-        .withColumn("band", (F.lit(BANDS) * (1 - F.exp(-F.col("key")))).cast("int"))
+    return F.struct(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"),
+        (-F.log(u) / quality_weight(F.col(text_col))).alias("key"), digest.alias("digest"), *([row_digest(docs).alias("row")] if whole else []),
     )
-    bands = slim.groupBy("source", "band").agg(F.sum("size").alias("words"))
-    sources = bands.groupBy("source").agg(F.sum("words").alias("source_size"))
-    targets = source_targets(sources, cap)
-    fill = Window.partitionBy("source").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    filled = bands.withColumn("before", F.coalesce(F.sum("words").over(fill), F.lit(0)))
-    budgets = cut(
-        filled.join(targets.withColumnRenamed("source", "__name"), F.col("source").eqNullSafe(F.col("__name"))).drop("__name")
+
+
+def _plan(slim: DataFrame, cap: float, most_sources: int) -> tuple[DataFrame, int]:
+    """One row a source (__name, source_size, target, epochs, budget, edge, before), and the number of bands.
+
+    Bands under ``edge`` are taken whole, those above not at all; ``before`` is what the former hold.
+    """
+    bands = max(4096, slim.count() // BAND_ROWS)
+    words = slim.groupBy("source", _band(F.col("key"), bands).alias("band")).agg(F.sum("size").alias("words"))
+    words = cut(words)
+    sources = words.groupBy("source").agg(F.sum("words").alias("source_size"))
+    if (count := sources.count()) > most_sources:
+        raise ValueError(f"{count} sources, more than {most_sources}")
+    targets = (
+        source_targets(sources, cap)
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("long"))
-        .withColumn("budget", F.round(F.col("target"), 0).cast("long") - F.col("epochs") * F.col("source_size"))
+        .withColumn("budget", F.round(F.col("target"), 0).cast("long") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "__name")
     )
-    # a band is whole (1), cut (0) or untouched (-1)
-    budgets = budgets.withColumn(
-        "part", F.when(F.col("before") + F.col("words") <= F.col("budget"), 1).when(F.col("before") >= F.col("budget"), -1).otherwise(0)
-    )
-    plan = budgets.select(F.col("source").alias("__name"), F.col("band").alias("__band"), "source_size", "target", "epochs", "budget", "before", "part")
-    joined = slim.join(plan, F.col("source").eqNullSafe(F.col("__name")) & (F.col("band") == F.col("__band")))
-    out = ["doc_id", "source", "size", "source_size", "target", "epochs", "digest"]
-    whole = joined.where("part != 0").select(*out, F.when(F.col("part") == 1, F.col("size")).otherwise(0).alias("more"))
-    rank = Window.partitionBy("source", "band").orderBy("key", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    run = F.col("before") + F.coalesce(F.sum("size").over(rank), F.lit(0))
-    edge = joined.where("part = 0").withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - run))).select(*out, "more")
-    return whole.unionByName(edge).select(
-        "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("more")).cast("long").alias("taken"), "source", "digest"
+    fill = Window.partitionBy("source").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    filled = words.withColumn("before", F.coalesce(F.sum("words").over(fill), F.lit(0)))
+    met = filled.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("__name"))).where(F.col("before") + F.col("words") > F.col("budget"))
+    first = met.groupBy("__name").agg(F.min(F.struct("band", "before")).alias("first")).withColumnRenamed("__name", "__edge")
+    plan = targets.join(first, F.col("__name").eqNullSafe(F.col("__edge")), "left").select(
+        "__name", "source_size", "target", "epochs", "budget", F.coalesce("first.band", F.lit(bands + 1)).alias("edge"), F.coalesce("first.before", F.lit(0)).alias("before")
     )
+    return cut(plan), bands
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0) -> DataFrame:
-    """The rows of the mix, all columns: each row of ``docs`` as often as it is taken, the one at the cut if half of it is.
+def _band(key: Column, bands: int) -> Column:
+    """exp(-key) lies in (0, 1) and falls as the key rises, so bands of it are bands of the key."""
+    return (F.lit(bands) * (1 - F.exp(-key))).cast("int")
 
-    Repeated rows are told apart by nothing, so the times they are taken are added up.
+
+def _edge(slim: DataFrame, plan: DataFrame, bands: int, by: tuple[str, ...]) -> DataFrame:
+    """Of each source's edge band the distinct rows (``by``) with ``copies``, and of these ``full`` that are taken whole and ``rest``, the words of the next one.
+
+    Rows that repeat are counted first, so that no window holds them one by one.
     """
-    taken = mix(docs, id_col, text_col, source_col, cap).groupBy("digest").agg(F.sum(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)).cast("int").alias("__times"))
-    keyed = docs.withColumn("__digest", _digest(id_col, text_col)).dropDuplicates(["__digest"])
-    times = taken.where("__times > 0").withColumnRenamed("digest", "__digest")
-    return keyed.join(times, "__digest").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    same = F.col("source").eqNullSafe(F.col("__name")) & (_band(F.col("key"), bands) == F.col("edge"))
+    groups = slim.join(F.broadcast(plan), same).groupBy("source", "key", "digest", "size", "source_size", "target", "epochs", "budget", "before", *by).agg(F.count("*").alias("copies"))
+    rank = Window.partitionBy("source").orderBy("key", "digest", *by).rowsBetween(Window.unboundedPreceding, -1)
+    room = F.greatest(F.lit(0), F.col("budget") - F.col("before") - F.coalesce(F.sum(F.col("size") * F.col("copies")).over(rank), F.lit(0)))
+    full = F.when(F.col("size") > 0, F.least(F.col("copies"), F.expr("room div size"))).otherwise(F.col("copies"))
+    return groups.withColumn("room", room).withColumn("full", full).withColumn("rest", F.least(F.col("size"), F.col("room") - F.col("full") * F.col("size")))
 
 
-def _digest(id_col: str, text_col: str) -> Column:
-    return F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, most_sources: int = 1_000_000) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source, digest) for every row; digest is that of id and text.
+
+    size is the number of words. Sources in order of code points, null last, weigh 1, 2, 3 in
+    turn and share the sum of all sizes; a target stops at ``cap`` times its source's size and
+    the excess goes to the others by weight. A source first gives whole epochs; the rest is
+    selected in the order of keys -ln(u) / weight (u from a digest of id and text, weight from
+    ``quality_weight``), documents being taken until the budget is met. The document in which it
+    is met gives only the words that are left, so the source's sum is its target to the word.
+    Null text has size 0 and takes 0. Keys that tie are ordered by the digest; rows that repeat are ordered among themselves by nothing but
+    their place, which changes no multiset of results. Other columns are ignored, whatever their
+    names. An empty table gives no rows. The plan holds one row a source and is sent to the tasks;
+    more than ``most_sources`` sources are refused.
+    """
+    slim = cut(docs.select(_sampled(docs, id_col, text_col, source_col, False).alias("s")).select("s.*"))
+    plan, bands = _plan(slim, cap, most_sources)
+    band = _band(F.col("key"), bands)
+    whole = slim.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__name"))).where(band != F.col("edge")).withColumn("more", F.when(band < F.col("edge"), F.col("size")).otherwise(0))
+    edge = _edge(slim, plan, bands, ("doc_id",))
+    part = lambda n, more: F.struct(n.cast("long").alias("n"), more.cast("long").alias("more"))
+    # of the copies of a row the first ones are taken whole, the next for the rest, the others not at all
+    parts = F.array(part(F.col("full"), F.col("size")), part(F.least(F.lit(1), F.col("copies") - F.col("full")), F.col("rest")), part(F.col("copies") - F.col("full") - 1, F.lit(0)))
+    edge = repeated(edge.withColumn("part", F.explode(parts)).withColumn("more", F.col("part.more")), F.col("part.n"))
+    out = ["doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("more")).cast("long").alias("taken"), "source", "digest"]
+    return whole.select(*out).unionByName(edge.select(*out))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, most_sources: int = 1_000_000) -> DataFrame:
+    """The rows of the mix, all columns: each row of ``docs`` as often as it is taken, the one at the cut if half of it is.
+
+    Every row keeps its own columns. Rows of which all of the source or nothing is taken are decided where they stand,
+    by a plan of one row a source; only texts of the edge bands are shuffled. Rows equal in every column
+    are told apart by nothing, so the times they are taken are added up. Rows without words are taken no times.
+    """
+    s = free(docs, "__s")
+    rows = docs.withColumn(s, _sampled(docs, id_col, text_col, source_col, True))
+    slim = cut(rows.select(f"{s}.*"))
+    plan, bands = _plan(slim, cap, most_sources)
+    p, times = free(docs, "__plan"), free(docs, "__times")
+    sent = F.broadcast(plan.select(F.struct("*").alias(p)))
+    placed = rows.join(sent, F.col(f"{s}.source").eqNullSafe(F.col(f"{p}.__name")))
+    band, size = _band(F.col(f"{s}.key"), bands), F.col(f"{s}.size")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    takes = F.when(size > 0, F.col(f"{p}.epochs") + (band < F.col(f"{p}.edge")).cast("long")).otherwise(0)
+    whole = placed.where(band != F.col(f"{p}.edge")).select(*columns, takes.alias(times))
+    half = ((F.col("full") < F.col("copies")) & (2 * F.col("rest") >= F.col("size"))).cast("long")
+    groups = _edge(slim, plan, bands, ("row",)).where("size > 0").select(F.col("row").alias(s), (F.col("copies") * F.col("epochs") + F.col("full") + half).alias(times))
+    edge = placed.where(band == F.col(f"{p}.edge")).select(*columns, F.col(f"{s}.row").alias(s)).dropDuplicates([s]).join(groups, s).select(*columns, times)
+    return repeated(whole.unionByName(edge), F.col(times)).select(*columns)
 
 
 def source_targets(sources: DataFrame, cap: float) -> DataFrame:
@@ -120,6 +163,6 @@ l AS (SELECT *, most / w AS reach, (sum(source_size) OVER () - coalesce(sum(most
 t AS (SELECT source, source_size, least(most, coalesce(w * (SELECT arg_min(level, reach) FROM l WHERE reach > level), most)) AS target FROM l),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-9) AS BIGINT) ELSE 0 END AS epochs FROM t),
 p AS (SELECT e.doc_id, e.size, g.*, coalesce(sum(e.size) OVER (PARTITION BY e.source ORDER BY e.key, e.dg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e JOIN g ON e.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 4) AS target,
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(epochs * size + greatest(0, least(size, CAST(round(target) AS BIGINT) - epochs * source_size - before)) AS BIGINT) AS taken FROM p
 """

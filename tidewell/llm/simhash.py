@@ -210,20 +210,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = named.join(least, "root").select("fp", "component_id")
     per_class = cut(classes.join(whole, "fp", "left").select("fp", "times", F.coalesce("component_id", "least_id").alias("component_id")))
     return join_classes(marked, per_class, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, references: int = 16) -> DataFrame:
-    """The rows of ``docs``, all columns, one of each component: the one with the least id (null last), then the least digest.
-
-    Rows are told apart by a digest of id and text; of rows with the same one is kept.
-    """
-    row = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.withColumn("__row", row)
-    marked = cut(fingerprints(keyed, "__row", text_col, width).withColumnRenamed("doc_id", "row"))
-    ids = keyed.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("id")).distinct()
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    first = marked.join(ids, "row").groupBy("fp").agg(F.min(order).alias("first"))
-    classes = cut(first)
-    named = classes.join(_roots(classes, radius, references), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    keep = named.select(F.col("first.row").alias("__row"))
-    return keyed.join(keep, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
