@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: computed once, read by every branch, and again after a lost executor.
 
-    It goes to the session's ``spark.checkpoint.dir``; only where that is unset a temporary folder takes its place.
+    It goes to the session's ``spark.checkpoint.dir``; only where that is unset on one machine a temporary folder takes its place.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewell-"))
     return df.checkpoint(eager=True)
