@@ -110,7 +110,9 @@ def test_rows_alike_in_id_and_text_keep_their_own_columns(spark, sf_dir):
     for most_sent in (0, 100):
         assert Counter(tuple(r)[:5] for r in hilbert.sharded_rows(docs, 3, most_sent=most_sent).collect()) == Counter(TWINS)
     for repeat in (1, 40):
-        got = Counter(map(tuple, stage["source_mixing"](spark, spark.createDataFrame(TWINS * repeat, docs.schema), sf_dir).collect()))
+        many = spark.createDataFrame(TWINS * repeat, docs.schema)
+        got = Counter(map(tuple, stage["source_mixing"](spark, many, sf_dir).collect()))
+        assert got == Counter(map(tuple, mixing.mixed_rows(many, most_sent=0).collect()))
         took = Counter()
         for r in mixing.mix(spark.createDataFrame(TWINS * repeat, docs.schema)).collect():
             took[r["source"]] += r["taken"]

@@ -108,11 +108,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return whole.select(*out).unionByName(edge.select(*out))
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, most_sources: int = 1_000_000) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, most_sources: int = 1_000_000, most_sent: int = 200_000) -> DataFrame:
     """The rows of the mix, all columns: each row of ``docs`` as often as it is taken, the one at the cut if half of it is.
 
     Every row keeps its own columns. Rows of which all of the source or nothing is taken are decided where they stand,
-    by a plan of one row a source; only texts of the edge bands are shuffled. Rows equal in every column
+    by a plan of one row a source; rows of the edge bands by their digests, which are sent to them up to ``most_sent`` (24 bytes each)
+    and joined beyond, or where such rows repeat. Rows equal in every column
     are told apart by nothing, so the times they are taken are added up. Rows without words are taken no times.
     """
     s = free(docs, "__s")
@@ -124,12 +125,18 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = rows.join(sent, F.col(f"{s}.source").eqNullSafe(F.col(f"{p}.__name")))
     band, size = _band(F.col(f"{s}.key"), bands), F.col(f"{s}.size")
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    edge = band == F.col(f"{p}.edge")
     takes = F.when(size > 0, F.col(f"{p}.epochs") + (band < F.col(f"{p}.edge")).cast("long")).otherwise(0)
-    whole = placed.where(band != F.col(f"{p}.edge")).select(*columns, takes.alias(times))
     half = ((F.col("full") < F.col("copies")) & (2 * F.col("rest") >= F.col("size"))).cast("long")
-    groups = _edge(slim, plan, bands, ("row",)).where("size > 0").select(F.col("row").alias(s), (F.col("copies") * F.col("epochs") + F.col("full") + half).alias(times))
-    edge = placed.where(band == F.col(f"{p}.edge")).select(*columns, F.col(f"{s}.row").alias(s)).dropDuplicates([s]).join(groups, s).select(*columns, times)
-    return repeated(whole.unionByName(edge), F.col(times)).select(*columns)
+    groups = cut(_edge(slim, plan, bands, ("row",)).where("size > 0").select(F.unhex("row").alias(s), "copies", (F.col("copies") * F.col("epochs") + F.col("full") + half).alias(times)))
+    mark = F.unhex(F.col(f"{s}.row"))
+    if groups.count() <= most_sent and groups.where("copies > 1").isEmpty():
+        sent = F.broadcast(groups.select(F.struct(s, times).alias(times)))
+        taken = placed.join(sent, edge & (mark == F.col(f"{times}.{s}")), "left").select(*columns, F.when(edge, F.coalesce(F.col(f"{times}.{times}"), F.lit(0))).otherwise(takes).alias(times))
+    else:
+        cuts = placed.where(edge).select(*columns, mark.alias(s)).dropDuplicates([s]).join(groups.select(s, times), s).select(*columns, times)
+        taken = placed.where(~edge).select(*columns, takes.alias(times)).unionByName(cuts)
+    return repeated(taken, F.col(times)).select(*columns)
 
 
 def source_targets(sources: DataFrame, cap: float) -> DataFrame:
