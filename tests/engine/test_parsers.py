@@ -15,7 +15,7 @@ def test_kline_order_and_prefix(spark):
     rows = P.kline(land(spark, body, "<html>"), "sh600000").collect()
     assert [(str(r["date"]), r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in rows] == [("2026-01-02", 1.0, 1.2, 0.9, 1.1, 1000.0)]
     got = spark.createDataFrame([("000300",), ("SZ000001",), ("600519",), ("830001",), ("000001x",)], "c string").select(P.market_prefix(F.col("c")).alias("m")).collect()
-    assert [r["m"] for r in got] == ["sh", "sz", "sh", "bj", "sh"]
+    assert [r["m"] for r in got] == ["sh", "sz", "sh", "bj", "sz"]
 
 
 def test_chart_prefers_adjusted_close(spark):
@@ -102,3 +102,26 @@ def test_phrases_count_without_overlap(spark):
     t = "公司盈利增长20%，但风险与下调可能仍存。数据显示2026-08-08"
     row = spark.createDataFrame([(t,)], "t string").select(*[text.phrase_count(text.squeeze(F.col("t")), v).alias(k) for k, v in text.LEXICONS.items()], F.regexp_count("t", F.lit(text.NUMBER)).alias("n")).first()
     assert row["positive"] == 2 and row["negative"] == 2 and row["uncertainty"] == 1 and row["source_language"] == 1 and row["n"] > 0
+
+
+def test_addresses_and_markup(spark):
+    """Tracking parameters, references, users and hosts, as the feeds have them."""
+    cases = {
+        "http://Example.com//a//b?utm_source=x&id=7#top": "http://example.com/a/b?id=7", "https://a.com/?from=a&ref=9&source=z": "https://a.com/?from=a&ref=9&source=z",
+        "https://a.com?REF_SRC=t&at_medium=m&at_campaign=c&q=1&amp;r=2": "https://a.com/?q=1&r=2", "http://finance.eastmoney.com/x": "https://finance.eastmoney.com/x", "https://u:p@a.com/": None,
+        "ftp://a.com/": None, "https://a.com:8443/x?k": "https://a.com:8443/x?k=", "https://a.com:99999/": None, " https://a.com/?q=a+b%2Fc ": "https://a.com/?q=a+b%2Fc", "": None,
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "u string").select("u", text.canonical_url(F.col("u")).alias("c")).collect()
+    assert {r["u"]: r["c"] for r in got} == cases
+    pages = {"<script>x</style>secret</script>a&#8212;b &eacute;&nbsp;<b>c</b>": "a—b é c", "&lt;p&gt;in&lt;/p&gt; <style>s</style>out": "in out", "a &am b": "a &am b"}
+    got = spark.createDataFrame([(k,) for k in pages], "h string").select("h", text.html_text(F.col("h")).alias("t")).collect()
+    assert {r["h"]: r["t"] for r in got} == pages
+
+
+def test_words_ranges_markets_and_times(spark):
+    one = spark.range(1)
+    assert one.select(text.query_words(F.lit(" AI，芯片;Gold|oil/AI ；x "))).first()[0] == ["ai", "芯片", "gold", "oil", "x"]
+    assert [one.select(P.range_for_days(F.lit(n))).first()[0] for n in (1, 120, 121, 260, 261, 520, 521)] == ["6mo", "6mo", "1y", "1y", "2y", "2y", "5y"]
+    assert [one.select(P.market_prefix(F.lit(c))).first()[0] for c in ("000001", "000300", "SZ000001", "600000", "830799", "BJ1")] == ["sz", "sh", "sz", "sh", "bj", "bj"]
+    assert one.select(text.timestamp(F.lit("20240131"), zone="Asia/Shanghai").cast("string")).first()[0] == "2024-01-30 16:00:00"
+    assert one.select(text.timestamp(F.lit("2024-01-31T08:00:00Z"), zone="Asia/Shanghai").cast("string")).first()[0] == "2024-01-31 08:00:00"

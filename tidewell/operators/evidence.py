@@ -22,7 +22,9 @@ def substantive() -> Column:
 
 def validate_facts(facts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Facts with their errors and warnings; within ``keys`` a fact id may stand once, the first by ``seq`` is the one."""
-    by = Window.partitionBy(*(keys or []), "fact_id")
+    # facts without an id repeat nothing; each is a partition of its own, so that no task gathers them
+    alone = F.when(F.coalesce(F.col("fact_id"), F.lit("")) == "", F.col("seq"))
+    by = Window.partitionBy(*(keys or []), "fact_id", alone)
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
     url = F.coalesce(F.col("source_url"), F.lit(""))
     errors = [F.when(blank("fact_id"), "missing fact_id"), F.when(~blank("fact_id") & (F.row_number().over(by.orderBy("seq")) > 1), "duplicate fact_id")]

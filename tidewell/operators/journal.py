@@ -147,8 +147,9 @@ def auto_review(runs: DataFrame, bars: DataFrame, benchmark_of: DataFrame, horiz
         x = outcome_windows(bars, h).withColumn("days", F.lit(h))
         windows = x if windows is None else windows.unionByName(x)
     windows = windows.withColumn("key", F.concat_ws("|", "code", "days")).drop("code", "days")
-    asked = runs.withColumn("key", F.concat_ws("|", "code", "days")).withColumn("after", F.date_add("as_of", 1))
-    j = forward_asof(asked, windows, "key", "after", "entry_date")
+    # a run's entry depends on its code, span and day alone, so the days are looked up, not the runs
+    asked = runs.select("code", "days", "as_of").distinct().withColumn("key", F.concat_ws("|", "code", "days")).withColumn("after", F.date_add("as_of", 1))
+    j = runs.join(forward_asof(asked, windows, "key", "after", "entry_date").drop("key", "after"), ["code", "days", "as_of"])
     b = bars.select(F.col("code").alias("bench"), F.col("date"), F.col("close"))
     one, two = b.select("bench", F.col("date").alias("entry_date"), F.col("close").alias("b0")), b.select("bench", F.col("date").alias("exit_date"), F.col("close").alias("b1"))
     j = j.join(benchmark_of, "code", "left").join(one, ["bench", "entry_date"], "left").join(two, ["bench", "exit_date"], "left")

@@ -115,12 +115,15 @@ def event_reactions(events: DataFrame, bars: DataFrame) -> DataFrame:
     """
     windows = event_windows(bars)
     sector = bars.where("role = 'stock'").select("code", "sector").distinct()
-    e = forward_asof(events.join(sector, "code"), windows, "code", "event_date", "anchor").where("anchor IS NOT NULL")
-    e = e.select("event_id", "code", "sector", "event_date", "direction", "stage", "anchor", "pre_5d", F.col("r1").alias("a1"), F.col("r3").alias("a3"), F.col("r5").alias("a5"), "volume_ratio")
+    # what an event meets depends on its code and day alone: days times codes, however many events there are
+    days = events.select("code", "event_date").distinct().join(F.broadcast(sector), "code")
+    e = forward_asof(days, windows, "code", "event_date", "anchor").where("anchor IS NOT NULL")
+    e = e.select("code", "sector", "event_date", "anchor", "pre_5d", F.col("r1").alias("a1"), F.col("r3").alias("a3"), F.col("r5").alias("a5"), "volume_ratio")
     s = windows.where(F.col("code").startswith("S")).select(F.col("code").alias("sector"), F.col("anchor").alias("sector_anchor"), F.col("r1").alias("s1"), F.col("r5").alias("s5"))
     e = forward_asof(e, s, "sector", "event_date", "sector_anchor").where("sector_anchor IS NOT NULL")
     m = windows.where("code = 'MKT'").select(F.lit("MKT").alias("mkt"), F.col("anchor").alias("market_anchor"))
     e = forward_asof(e.withColumn("mkt", F.lit("MKT")), m, "mkt", "event_date", "market_anchor").where("market_anchor IS NOT NULL").drop("mkt")
+    e = events.join(e, ["code", "event_date"])
     d, x1, x5 = F.col("direction"), F.col("a1") - F.col("s1"), F.col("a5") - F.col("s5")
     regime = (
         F.when((d == "positive") & (x1 <= -THRESHOLD), "positive_rejected").when((d == "negative") & (x1 >= THRESHOLD), "negative_absorbed")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..streaming.heat import heat_stream
+from ..streaming import heat
 from . import prices, research, signals, sql
 
-_ALL = prices.QUERIES | signals.QUERIES | research.QUERIES | {"heat_stream": (heat_stream, None)}
+_ALL = prices.QUERIES | signals.QUERIES | research.QUERIES | {"heat_stream": (heat.heat_stream, heat.SQL)}
 
 
 def queries() -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -12,10 +12,16 @@ def cut(df: DataFrame) -> DataFrame:
 
     It goes to the session's ``spark.checkpoint.dir``; only where that is unset on one machine a temporary folder takes its place.
     """
-    context = df.sparkSession.sparkContext
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewell-"))
-    return df.checkpoint(eager=True)
+    return named or context.getCheckpointDir()

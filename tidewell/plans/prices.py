@@ -10,6 +10,7 @@ from ..functions.expr import rnd
 from ..operators import backtest, scoring, timeseries, timing
 from ..sources import panels
 from . import sql
+from .cuts import cut
 
 START = "1999-01-01"
 
@@ -17,7 +18,7 @@ START = "1999-01-01"
 
 
 def _features(spark, d) -> DataFrame:
-    return timeseries.features(panels.bars(spark, d))
+    return cut(timeseries.features(panels.bars(spark, d)))  # days times codes, read by several branches
 
 
 def bars_unit_price(spark, d):
@@ -109,7 +110,7 @@ def rank_exclusions(spark, d):
 
 def _observations(spark, d):
     b = panels.bars(spark, d)
-    return backtest.selector_observations(b, timeseries.features(b))
+    return cut(backtest.selector_observations(b, cut(timeseries.features(b))))
 
 
 def selector_observations(spark, d):
@@ -130,8 +131,8 @@ def selector_buckets(spark, d):
 
 def _sector(spark, d):
     b = panels.bars(spark, d)
-    s = scoring.sector_scores(timeseries.features(b))
-    return backtest.sector_observations(b, s), s
+    s = cut(scoring.sector_scores(cut(timeseries.features(b))))
+    return cut(backtest.sector_observations(b, s)), s
 
 
 def sector_signal_observations(spark, d):

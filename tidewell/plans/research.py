@@ -57,11 +57,11 @@ def source_outcomes_gate(spark, d):
 
 def _browser(spark, d):
     n = panels.table(spark, d, "nation")
-    plan = n.where("n_nationkey % 2 = 0").join(panels.table(spark, d, "region"), n["n_regionkey"] == F.col("r_regionkey")).select(F.col("r_name").alias("topic"), F.col("n_nationkey").alias("site_id"))
+    plan = n.join(panels.table(spark, d, "region"), n["n_regionkey"] == F.col("r_regionkey")).select(F.col("r_name").alias("topic"), F.col("n_nationkey").alias("site_id"))
     outcomes = F.array(*[F.lit(x) for x in ("no_relevant_result", "paywalled", "failed", "search_results_only", "login_required", "opened_original")])
     attempts = panels.table(spark, d, "supplier").select(F.col("s_nationkey").alias("site_id"), F.col("s_suppkey").alias("seq"), F.get(outcomes, (F.col("s_suppkey") % 6).cast("int")).alias("outcome"))
     access = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "open").when(F.col("c_mktsegment") == "BUILDING", "paywalled").when(F.col("c_mktsegment") == "MACHINERY", "login_required").otherwise("unknown")
-    pages = panels.table(spark, d, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("site_id"), F.col("c_custkey").alias("seq"), access.alias("access_state"), F.when(F.col("c_custkey") % 2 == 0, "visible_original_page").otherwise("search_result").alias("capture_method"))
+    pages = panels.table(spark, d, "customer").select(F.col("c_nationkey").alias("site_id"), F.col("c_custkey").alias("seq"), access.alias("access_state"), F.when(F.col("c_custkey") % 2 == 0, "visible_original_page").otherwise("search_result").alias("capture_method"))
     return plan, attempts, pages
 
 
@@ -83,8 +83,8 @@ def site_match(spark, d):
 
 def _candidates(spark, d):
     """The top stocks of each sector with everything a recommendation reads; verdicts follow from the brand's number."""
-    b = cut(panels.bars(spark, d))  # days times codes: small, and read by five branches, which so scan the lines once
-    f = timeseries.features(b)
+    b = panels.bars(spark, d)
+    f = cut(timeseries.features(b))
     last = f.where("role = 'sector'").groupBy("sector").agg(F.max("date").alias("as_of"))
     top = scoring.ranked(scoring.stock_scores(scoring.as_of_features(f, last)), ["sector", "as_of"]).where("rank <= 3").select("sector", "code", "score", "coverage")
     s = scoring.sector_scores(f).groupBy("sector").agg(F.max_by("score_20d", "date").alias("sector_score"), F.max_by("coverage_20d", "date").alias("sector_coverage"))
@@ -119,8 +119,8 @@ def sizing(spark, d):
 
 
 def publication_gate(spark, d):
-    b = cut(panels.bars(spark, d))
-    f = timeseries.features(b)
+    b = panels.bars(spark, d)
+    f = cut(timeseries.features(b))
     scored = scoring.sector_scores(f)
     s = scored.groupBy("sector").agg(F.max_by("coverage_20d", "date").alias("forecast_coverage"))
     m = backtest.selector_metrics(backtest.selector_observations(b, f))
@@ -138,7 +138,7 @@ def _last_features(spark, d):
 
 
 def _features(spark, d):
-    return timeseries.features(panels.bars(spark, d))
+    return cut(timeseries.features(panels.bars(spark, d)))
 
 
 def trade_plan(spark, d):
@@ -185,7 +185,7 @@ def runs(spark, d):
     r = x.select(
         k.alias("run_id"), F.concat_ws(" ", "source", "lang").alias("topic"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 300).cast("int")).alias("as_of"), F.concat(h.cast("string"), F.lit("d")).alias("horizon"), h.alias("days"),
         F.array(F.concat(F.lit("Brand#"), (k % 25 + 1).cast("string"))).alias("instruments"), F.when(k % 9 == 0, F.array().cast("array<string>")).otherwise(F.array("lang", "source")).alias("tags"), pick(("bullish", "bearish", "neutral", "mixed", "abstain", "not_applicable"), k % 6).alias("stance"),
-        pick(("hold", "buy", "avoid"), k % 3).alias("decision"), F.coalesce(F.left(F.col("text"), F.lit(60)), F.lit("")).alias("thesis"),
+        pick(("hold", "buy", "avoid"), k % 3).alias("decision"), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t-\r]+", " ")).alias("thesis"),
     )
     r = r.withColumn("review_date", F.when(F.col("run_id") % 11 != 0, decision.review_date(F.col("as_of"), F.col("days"))))
     honest = journal.fingerprint(*RUN_FIELDS)
@@ -250,9 +250,9 @@ _SG = """g AS (SELECT topic, count(*) AS selected, count(*) FILTER (outcome = 's
 sg AS (SELECT topic, selected, successes, failures, facts, silent = 0 AS all_source_outcomes_explicit, successes >= least(3, selected) AND facts >= 3 AS primary_sufficient,
   CASE WHEN successes = 0 THEN 'failed' WHEN failures > 0 OR stale > 0 THEN 'degraded' WHEN cached = successes THEN 'cached' ELSE 'fresh' END AS status,
   concat_ws(',', CASE WHEN successes < least(3, selected) THEN 'too few sources' END, CASE WHEN facts < 3 THEN 'too few items' END) AS reasons FROM g)"""
-_CG = """plan AS (SELECT r_name AS topic, n_nationkey AS site_id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0),
+_CG = """plan AS (SELECT r_name AS topic, n_nationkey AS site_id FROM nation JOIN region ON n_regionkey = r_regionkey),
 tried AS (SELECT s_nationkey AS site_id, arg_max(['no_relevant_result', 'paywalled', 'failed', 'search_results_only', 'login_required', 'opened_original'][s_suppkey % 6 + 1], s_suppkey) AS tried FROM supplier GROUP BY 1),
-pg AS (SELECT c_nationkey AS site_id, c_custkey AS seq, CASE WHEN c_mktsegment = 'BUILDING' THEN 'paywalled' WHEN c_mktsegment = 'MACHINERY' THEN 'login_required' WHEN c_mktsegment = 'AUTOMOBILE' AND c_custkey % 2 = 0 THEN 'opened_original' ELSE 'search_results_only' END AS o FROM customer WHERE c_acctbal > 9900),
+pg AS (SELECT c_nationkey AS site_id, c_custkey AS seq, CASE WHEN c_mktsegment = 'BUILDING' THEN 'paywalled' WHEN c_mktsegment = 'MACHINERY' THEN 'login_required' WHEN c_mktsegment = 'AUTOMOBILE' AND c_custkey % 2 = 0 THEN 'opened_original' ELSE 'search_results_only' END AS o FROM customer),
 pgs AS (SELECT site_id, count(*) FILTER (o = 'opened_original') AS originals, arg_max(o, seq) AS last_page FROM pg GROUP BY 1),
 oc AS (SELECT topic, originals, CASE WHEN originals > 0 OR tried = 'opened_original' THEN 'opened_original' ELSE coalesce(last_page, tried) END AS outcome FROM plan LEFT JOIN tried ON plan.site_id = tried.site_id LEFT JOIN pgs ON plan.site_id = pgs.site_id),
 cg0 AS (SELECT topic, count(*) AS required_publishers, count(*) FILTER (outcome IN ('opened_original', 'no_relevant_result', 'paywalled', 'login_required', 'search_results_only')) AS accounted, count(*) FILTER (outcome IN ('opened_original', 'no_relevant_result', 'paywalled', 'login_required')) AS completed,
@@ -286,7 +286,7 @@ def _recommended(profile: str) -> str:
 
 _ALL = "WITH RECURSIVE " + ",".join([sql.BARS, sql.FEATURES, prices._SCORED, prices._OBS, prices._BREADTH, prices._SECTOR, prices._DAYS, prices._WSTATE, prices._STATES, prices._CAND, prices._TRADES, prices._EQUITY]) + "," + _CAND
 _JRUN = """WITH r0 AS (SELECT doc_id AS run_id, concat_ws(' ', source, lang) AS topic, DATE '2024-01-01' + CAST(doc_id % 300 AS INT) AS as_of, CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 20 END AS days, 'Brand#' || CAST(doc_id % 25 + 1 AS VARCHAR) AS code,
-  CASE WHEN doc_id % 9 = 0 THEN [] ELSE [lang, source] END AS tags, ['bullish', 'bearish', 'neutral', 'mixed', 'abstain', 'not_applicable'][doc_id % 6 + 1] AS stance, ['hold', 'buy', 'avoid'][doc_id % 3 + 1] AS decision, coalesce(left(text, 60), '') AS thesis FROM documents),
+  CASE WHEN doc_id % 9 = 0 THEN [] ELSE [lang, source] END AS tags, ['bullish', 'bearish', 'neutral', 'mixed', 'abstain', 'not_applicable'][doc_id % 6 + 1] AS stance, ['hold', 'buy', 'avoid'][doc_id % 3 + 1] AS decision, trim(regexp_replace(coalesce(text, ''), '[ \\t-\\r]+', ' ', 'g')) AS thesis FROM documents),
 runs AS (SELECT *, CASE WHEN run_id % 11 <> 0 THEN as_of + CAST(CASE WHEN days = 5 THEN 7 ELSE 29 END AS INT) END AS review_date FROM r0),
 reviews AS (SELECT doc_id * 10 AS review_id, CASE WHEN doc_id % 83 = 0 THEN -doc_id ELSE doc_id END AS run_id, DATE '2024-01-01' + CAST(doc_id % 300 + doc_id % 40 AS INT) AS observed_at, CASE WHEN toxic = 1 THEN 'refuted' ELSE 'confirmed' END AS thesis_status,
   ((doc_id * 37) % 2001 - 1000) / 100.0::DOUBLE AS realized, CASE WHEN doc_id % 4 <> 0 THEN 1.0::DOUBLE END AS benchmark, CASE WHEN doc_id % 4 <> 0 THEN ((doc_id * 37) % 2001 - 1000) / 100.0::DOUBLE - 1 END AS excess, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS decision_quality FROM labels),
@@ -309,7 +309,7 @@ _ORD = " ".join(f"WHEN '{k}' THEN {v}" for k, v in decision.ORDERS.items())
 QUERIES = {
     "fact_validation": (fact_validation, _FACT + f" SELECT seq, array_to_string(list_sort({_errors('')}), ';') AS errors, CASE WHEN redacted THEN 'redacted credentials' ELSE '' END AS warnings FROM f"),
     "doc_validation": (doc_validation, _FACT + f", e AS (SELECT *, len({_errors('document, ')}) AS n FROM f) SELECT document, count(*) AS facts, CAST(sum(n) AS BIGINT) AS error_count, sum(n) = 0 AS valid, count(*) FILTER (NOT sub) AS metadata_only, count(*) FILTER (sub) AS substantive FROM e GROUP BY 1"),
-    "evidence_pack": (evidence_pack, _FACT + ", u AS (SELECT fact_id, evidence_role, sub FROM f UNION ALL SELECT 'EV-' || CAST(o_orderkey AS VARCHAR), 'event', true FROM orders WHERE o_orderpriority = '1-URGENT') SELECT evidence_role, count(*) AS facts, count(DISTINCT fact_id) AS fact_ids, count(*) FILTER (sub) AS substantive FROM u GROUP BY 1"),
+    "evidence_pack": (evidence_pack, _FACT + ", u AS (SELECT fact_id, evidence_role, sub FROM f UNION ALL SELECT 'EV-' || CAST(o_orderkey AS VARCHAR), 'event', true FROM orders) SELECT evidence_role, count(*) AS facts, count(DISTINCT fact_id) AS fact_ids, count(*) FILTER (sub) AS substantive FROM u GROUP BY 1"),
     "source_outcomes_gate": (source_outcomes_gate, _ATT + "," + _SG + " SELECT * FROM sg"),
     "coverage_gate": (coverage_gate, "WITH " + _CG + " SELECT * FROM cg"),
     "collection_gate": (collection_gate, _ATT + "," + _SG + "," + _CG + """, p AS (SELECT *, CASE topic WHEN 'en' THEN 'AMERICA' WHEN 'de' THEN 'EUROPE' WHEN 'es' THEN 'AFRICA' ELSE 'NOWHERE' END AS t FROM sg),

@@ -12,8 +12,9 @@ from . import sql
 
 #: The moment the articles are judged at.
 NOW = "2024-01-31 00:00:00"
-# Words of the document languages that stand in for the built-in phrases.
-LEXICON = {"positive": ["tion", "mente", "lich"], "negative": ["not", "nicht", "pas"], "uncertainty": ["with", "por", "avec"], "source_language": ["that", "der", "que"]}
+# The built-in phrases, and words of the document languages beside them, as the documents hold none of the former.
+WORDS = {"positive": ["tion", "mente", "lich"], "negative": ["not", "nicht", "pas"], "uncertainty": ["with", "por", "avec"], "urgency": ["ing", "sch"], "causal": ["and", "und", "est"], "source_language": ["that", "der", "que"]}
+LEXICON = {k: v + WORDS[k] for k, v in text.LEXICONS.items()}
 
 
 def foreign_excess(spark, d):
@@ -63,9 +64,10 @@ def market_mood_daily(spark, d):
 
 
 def _text(spark, d):
-    t = panels.table(spark, d, "documents").where("text IS NOT NULL").withColumn("flat", text.squeeze(F.lower("text"))).where("length(flat) > 0")
+    t = panels.table(spark, d, "documents").where("text IS NOT NULL").withColumn("flat", text.squeeze(F.col("text"))).where("length(flat) > 0")
     counts = {f"n_{k}": text.phrase_count(F.col("flat"), v) for k, v in LEXICON.items()}
-    return t.withColumns(counts | {"n": F.length("flat"), "number_count": F.regexp_count("text", F.lit(r"\d+(?:\.\d+)?%?")).cast("long")})
+    found = {"number_count": text.NUMBER, "date_count": text.DATE}
+    return t.withColumns(counts | {"n": F.length("flat")} | {k: F.regexp_count("text", F.lit(v)).cast("long") for k, v in found.items()})
 
 
 def text_signals(spark, d):
@@ -74,7 +76,8 @@ def text_signals(spark, d):
     per = lambda c: rnd(1000.0 * c / F.col("n"), 3)
     return t.select(
         "doc_id", "n_positive", "n_negative", rnd(polarity, 6).alias("polarity"), rnd(clamp(50 + 50 * polarity), 3).alias("polarity_0_100"), per(F.col("n_uncertainty")).alias("uncertainty_per_1000"),
-        per(F.col("n_source_language") + F.col("number_count")).alias("evidence_density_per_1000"), "number_count",
+        per(F.col("n_urgency")).alias("urgency_per_1000"), per(F.col("n_causal")).alias("causal_density_per_1000"),
+        per(F.col("n_source_language") + F.col("number_count") + F.col("date_count")).alias("evidence_density_per_1000"), "number_count", "date_count",
     )
 
 
@@ -99,8 +102,14 @@ def topic_heat(spark, d):
 
 def url_canonical(spark, d):
     p = panels.table(spark, d, "pages")
-    made = F.concat(F.col("url"), F.when(F.col("url").contains("#"), "").otherwise("?utm_source=x&id="), F.when(F.col("url").contains("#"), "").otherwise(F.col("page_id").cast("string")))
-    return p.select("page_id", text.canonical_url(made).alias("canonical_url"))
+    return p.select("page_id", text.canonical_url(made_url()).alias("canonical_url"))
+
+
+def made_url():
+    """Addresses of ``pages``, some with tracking parameters, some with others, by the page's number."""
+    n = F.col("page_id").cast("string")
+    tail = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("utm_source=x&amp;from=a+b&Ref_Src=t&ref=9&AT_medium=m&id="), n)).otherwise(F.concat(F.lit("spm=1.2&source=%7Eq*&flag&gclid=&p="), n))
+    return F.when(F.contains("url", F.lit("#")), F.col("url")).otherwise(F.concat("url", F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), tail))
 
 
 def html_text(spark, d):
@@ -108,8 +117,8 @@ def html_text(spark, d):
 
 
 _X = sql.with_(sql.BARS) + """,
-fday AS (SELECT CASE WHEN r_name = 'AMERICA' THEN 'us' ELSE 'kr' END AS market, n_name AS nation, CAST(o_orderdate AS DATE) AS date, count(*) AS n, CAST(sum(o_orderkey % 11) AS BIGINT) AS ds
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('AMERICA', 'ASIA') GROUP BY 1, 2, 3),
+fday AS (SELECT CASE WHEN r_name IN ('AMERICA', 'AFRICA') THEN 'us' ELSE 'kr' END AS market, n_name AS nation, CAST(o_orderdate AS DATE) AS date, count(*) AS n, CAST(sum(o_orderkey % 11) AS BIGINT) AS ds
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3),
 fall AS (SELECT market, nation AS symbol, date, n, ds FROM fday UNION ALL SELECT market, 'IDX_' || market, date, CAST(sum(n) AS BIGINT), CAST(sum(ds) AS BIGINT) FROM fday GROUP BY 1, 2, 3),
 fbars AS (SELECT market, symbol, date, round(100.0::DOUBLE * exp(cb / 10000.0::DOUBLE), 4) AS close FROM (SELECT *, CAST(sum(CAST(floor(4000.0::DOUBLE * (ds / (100.0::DOUBLE * n) - 0.05::DOUBLE)) AS BIGINT)) OVER (PARTITION BY symbol ORDER BY date) AS BIGINT) AS cb FROM fall)),
 fret AS (SELECT *, (close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1) * 100 AS ret FROM fbars),
@@ -126,7 +135,7 @@ impulse AS (SELECT v.market, coalesce(n, 0) AS peer_count, x5 AS weighted_excess
 _SIGN = lambda x: f"CASE WHEN {x} IS NULL THEN 'insufficient' WHEN {x} > 1 THEN 'positive' WHEN {x} < -1 THEN 'negative' ELSE 'mixed_or_flat' END"
 _EVENTS = sql.with_(sql.BARS) + """,
 ev AS (SELECT o_orderkey AS event_id, 'Brand#' || CAST(o_custkey % 25 + 1 AS VARCHAR) AS code, CAST(o_orderdate AS DATE) AS event_date, CASE o_orderstatus WHEN 'O' THEN 'positive' WHEN 'F' THEN 'negative' ELSE 'mixed' END AS direction,
-  ['rumor', 'proposal', 'draft', 'announced', 'approved', 'effective', 'enforced', 'result', 'unknown'][o_orderkey % 9 + 1] AS stage FROM orders WHERE o_orderpriority = '1-URGENT'),
+  ['rumor', 'proposal', 'draft', 'announced', 'approved', 'effective', 'enforced', 'result', 'unknown'][o_orderkey % 9 + 1] AS stage FROM orders),
 win AS (SELECT code, date AS anchor, lag(close) OVER w AS p, (lag(close) OVER w / lag(close, 6) OVER w - 1) * 100 AS pre_5d, (close / lag(close) OVER w - 1) * 100 AS r1, (lead(close, 2) OVER w / lag(close) OVER w - 1) * 100 AS r3,
   (lead(close, 4) OVER w / lag(close) OVER w - 1) * 100 AS r5, CASE WHEN volume > 0 THEN volume / avg(CASE WHEN volume > 0 THEN volume END) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS volume_ratio
   FROM bars WINDOW w AS (PARTITION BY code ORDER BY date)),
@@ -159,15 +168,18 @@ def _count(words: list[str]) -> str:
     return "CAST(" + " + ".join(f"(length(flat) - length(replace(flat, '{w}', ''))) // {len(w)}" for w in words) + " AS BIGINT)"
 
 
-_TEXT = "WITH t AS (SELECT doc_id, lang, text, regexp_replace(lower(text), '[ \\t-\\r]+', '', 'g') AS flat FROM documents WHERE text IS NOT NULL), c AS (SELECT *, length(flat) AS n, " + ", ".join(f"{_count(v)} AS n_{k}" for k, v in LEXICON.items()) + ", len(regexp_extract_all(text, '\\d+(?:\\.\\d+)?%?')) AS number_count FROM t WHERE length(flat) > 0)"
+_TEXT = "WITH t AS (SELECT doc_id, lang, text, regexp_replace(text, '[ \\t-\\r]+', '', 'g') AS flat FROM documents WHERE text IS NOT NULL), c AS (SELECT *, length(flat) AS n, " + ", ".join(f"{_count(v)} AS n_{k}" for k, v in LEXICON.items()) + ", len(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|\\d+(?:\\.\\d+)?(?:%|[A-Za-z0-9_]*)'), lambda x: x[1] >= '0' AND x[1] <= '9')) AS number_count, len(regexp_extract_all(text, '(?:20\\d{2}[-年/.])?\\d{1,2}[-月/.]\\d{1,2}日?')) AS date_count FROM t WHERE length(flat) > 0)"
 _ART = "WITH a AS (SELECT event_id AS article_id, event_type AS topic, event_type || ' ' || (props->>'$.k') AS title, CAST(user_id AS VARCHAR) AS source, ts AS published_at, sha256(lower(regexp_replace(event_type || ' ' || (props->>'$.k'), '[^\\w]+', '', 'g'))) AS title_key FROM events)"
-_URL = r"""WITH p AS (SELECT page_id, CASE WHEN url LIKE '%#%' THEN url ELSE url || '?utm_source=x&id=' || CAST(page_id AS VARCHAR) END AS u FROM pages),
-q AS (SELECT page_id, lower(regexp_extract(u, '^(https?)://([^/?#]+)', 1, 'i')) AS s, lower(regexp_extract(u, '^(https?)://([^/?#]+)', 2, 'i')) AS h, regexp_replace(regexp_replace(u, '^https?://[^/?#]+', '', 'i'), '#.*$', '') AS rest FROM p),
-r AS (SELECT *, regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+', '/', 'g') AS path, list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: length(x) > 0 AND NOT regexp_matches(x, '^(@T@)(=|$)', 'i')) AS kept FROM q)
-SELECT page_id, CASE WHEN h <> '' AND h NOT LIKE '%@%' THEN s || '://' || h || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical_url FROM r""".replace("@T@", "|".join(text.TRACKING))
-_HTML = r"regexp_replace(regexp_replace(html, '<(script|style)\b[^>]*>.*?</(script|style)\s*>', ' ', 'gis'), '<[^>]+>', ' ', 'gs')"
-for _name, _sign in text.ENTITIES.items():
-    _HTML = f"replace({_HTML}, '{_name}', '{_sign.replace(chr(39), chr(39) * 2)}')"
+_URL = r"""WITH p AS (SELECT page_id, CASE WHEN url LIKE '%#%' THEN url ELSE url || CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END || CASE WHEN page_id % 2 = 0 THEN 'utm_source=x&amp;from=a+b&Ref_Src=t&ref=9&AT_medium=m&id=' ELSE 'spm=1.2&source=%7Eq*&flag&gclid=&p=' END || CAST(page_id AS VARCHAR) END AS u FROM pages),
+q AS (SELECT page_id, lower(regexp_extract(u, '^(https?)://([^/?#]*)', 1, 'i')) AS s, lower(regexp_extract(u, '^(https?)://([^/?#]*)', 2, 'i')) AS h, regexp_replace(regexp_replace(replace(u, '&amp;', '&'), '^https?://[^/?#]*', '', 'i'), '#.*$', '') AS rest FROM p),
+r AS (SELECT *, regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '//+', '/', 'g') AS path, list_transform(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: length(x) > 0),
+  lambda x: [url_decode(replace(string_split(x, '=')[1], '+', ' ')), url_decode(replace(CASE WHEN contains(x, '=') THEN substr(x, strpos(x, '=') + 1) ELSE '' END, '+', ' '))]) AS pairs FROM q),
+k AS (SELECT *, list_transform(list_filter(pairs, lambda x: NOT starts_with(lower(x[1]), 'utm_') AND NOT list_contains([@T@], lower(x[1]))), lambda x: replace(url_encode(x[1]), '%20', '+') || '=' || replace(url_encode(x[2]), '%20', '+')) AS kept FROM r)
+SELECT page_id, CASE WHEN h <> '' AND h NOT LIKE '%@%' THEN CASE WHEN @S@ THEN 'https' ELSE s END || '://' || h || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical_url FROM k"""
+_URL = _URL.replace("@T@", ", ".join(f"'{t}'" for t in text.TRACKING)).replace("@S@", " OR ".join(f"ends_with(h, '{h}')" for h in text.SECURE))
+# the character references that the pages hold, the ampersand last
+_HTML = r'''regexp_replace(replace(replace(replace(html, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')'''
+_HTML = rf"regexp_replace(regexp_replace(regexp_replace({_HTML}, '<script\b[^>]*>.*?</script>', ' ', 'gis'), '<style\b[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g')"
 
 QUERIES = {
     "foreign_excess": (foreign_excess, _X + " SELECT market, symbol, date, round(excess, 6) AS excess FROM fex"),
@@ -184,7 +196,7 @@ QUERIES = {
     "event_regime_counts": (event_regime_counts, _EVENTS + " SELECT direction, regime, count(*) AS events, round(avg(relative_return_5d_pct), 4) AS mean_relative_5d_pct FROM react GROUP BY 1, 2"),
     "market_mood_daily": (market_mood_daily, _MOOD + " SELECT date, breadth, limit_ecology, momentum, continuation, round(s / w, 3) AS score, round(w, 3) AS coverage, CASE WHEN s / w < 25 THEN 'very_cold' WHEN s / w < 42 THEN 'cold' WHEN s / w < 58 THEN 'neutral' WHEN s / w < 75 THEN 'hot' ELSE 'very_hot' END AS regime FROM fin"),
     "text_signals": (text_signals, _TEXT + """ SELECT doc_id, n_positive, n_negative, round((n_positive - n_negative) / (n_positive + n_negative + 5)::DOUBLE, 6) AS polarity, round(greatest(0, least(100, 50 + 50 * (n_positive - n_negative) / (n_positive + n_negative + 5)::DOUBLE)), 3) AS polarity_0_100,
-      round(1000.0::DOUBLE * n_uncertainty / n, 3) AS uncertainty_per_1000, round(1000.0::DOUBLE * (n_source_language + number_count) / n, 3) AS evidence_density_per_1000, number_count FROM c"""),
+      round(1000.0::DOUBLE * n_uncertainty / n, 3) AS uncertainty_per_1000, round(1000.0::DOUBLE * n_urgency / n, 3) AS urgency_per_1000, round(1000.0::DOUBLE * n_causal / n, 3) AS causal_density_per_1000, round(1000.0::DOUBLE * (n_source_language + number_count + date_count) / n, 3) AS evidence_density_per_1000, number_count, date_count FROM c"""),
     "text_signal_by_lang": (text_signal_by_lang, _TEXT + " SELECT lang, count(*) AS documents, CAST(sum(n_positive) AS BIGINT) AS positive, CAST(sum(n_negative) AS BIGINT) AS negative, CAST(sum(number_count) AS BIGINT) AS numbers, round(1000.0::DOUBLE * sum(n_uncertainty) / sum(n), 3) AS uncertainty_per_1000 FROM c GROUP BY 1"),
     "title_dedupe": (title_dedupe, _ART + " SELECT topic, title_key, article_id, source FROM a QUALIFY row_number() OVER (PARTITION BY topic, title_key ORDER BY published_at DESC, article_id DESC) = 1"),
     "topic_heat": (topic_heat, _ART + f""", w AS (SELECT * FROM a WHERE published_at <= TIMESTAMP '{NOW}' + INTERVAL 5 MINUTE AND published_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY),

@@ -2,7 +2,8 @@
 
 Daily bars come from order lines: the lines of a brand on a day move a deterministic walk by
 their discounts and taxes. Counts, sums and maxima by (brand, day) are all it needs, so sectors
-and the market are rolled up from that small aggregate and the lines are read once.
+and the market are rolled up from that small aggregate in one expansion, and the panel is cut, so
+the lines are read once whatever reads the panel.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import rnd
+from ..plans.cuts import cut
 
 SECTORS = 5
 
@@ -47,23 +49,21 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     sector = F.concat(F.lit("S"), F.pmod(F.regexp_extract("brand", r"(\d+)", 1).try_cast("int"), F.lit(SECTORS)).cast("string"))
     day = day.withColumn("sector", sector)
     up = [F.sum(c).alias(c) for c in ("n", "ds", "ts")] + [F.max(c).alias(c) for c in ("dm", "tm")] + [F.sum("volume").alias("volume")]
-    one = day.select(F.lit("stock").alias("role"), F.col("brand").alias("code"), "sector", "date", "n", "ds", "ts", "dm", "tm", "volume")
-    two = day.groupBy("sector", "date").agg(*up).select(F.lit("sector").alias("role"), F.col("sector").alias("code"), "sector", "date", "n", "ds", "ts", "dm", "tm", "volume")
-    three = day.groupBy("date").agg(*up).select(F.lit("market").alias("role"), F.lit("MKT").alias("code"), F.lit(None).cast("string").alias("sector"), "date", "n", "ds", "ts", "dm", "tm", "volume")
-    daily = one.unionByName(two).unionByName(three)
+    daily = day.withColumn("code", F.explode(F.array("brand", "sector", F.lit("MKT")))).groupBy("code", "date").agg(*up)
     # role and sector follow from the code, so they ride along instead of joining back
     role = F.when(F.col("code") == "MKT", "market").when(F.col("code").startswith("S"), "sector").otherwise("stock")
     number = F.pmod(F.regexp_extract("code", r"(\d+)", 1).try_cast("int"), F.lit(SECTORS)).cast("string")
-    return _walk(daily).select(role.alias("role"), "code", F.when(F.col("code") != "MKT", F.concat(F.lit("S"), number)).alias("sector"), "date", "open", "high", "low", "close", "volume")
+    panel = _walk(daily).select(role.alias("role"), "code", F.when(F.col("code") != "MKT", F.concat(F.lit("S"), number)).alias("sector"), "date", "open", "high", "low", "close", "volume")
+    return cut(panel)  # days times codes
 
 
 def foreign_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of foreign markets: peers are nations, benchmarks their regions, moved by order keys."""
+    """Bars of two foreign markets: peers are nations, benchmarks all nations of a market, moved by order keys."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation")
-    r = table(spark, sf_dir, "region").where(F.col("r_name").isin("AMERICA", "ASIA"))
-    market = F.when(F.col("r_name") == "AMERICA", "us").otherwise("kr")
+    r = table(spark, sf_dir, "region")
+    market = F.when(F.col("r_name").isin("AMERICA", "AFRICA"), "us").otherwise("kr")
     rows = (
         o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
         .groupBy(market.alias("market"), F.col("n_name").alias("nation"), F.to_date("o_orderdate").alias("date"))
@@ -77,8 +77,8 @@ def foreign_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, code, event_date, direction, stage): urgent orders as news about a brand."""
-    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    """(event_id, code, event_date, direction, stage): orders as news about a brand."""
+    o = table(spark, sf_dir, "orders")
     direction = F.when(F.col("o_orderstatus") == "O", "positive").when(F.col("o_orderstatus") == "F", "negative").otherwise("mixed")
     stages = F.array(*[F.lit(s) for s in ("rumor", "proposal", "draft", "announced", "approved", "effective", "enforced", "result", "unknown")])
     return o.select(

@@ -14,7 +14,7 @@ from ..functions import text
 from ..functions.expr import finite
 
 #: Index codes that trade in the first market although they look like the second's.
-SH_INDEX = ("000001", "000016", "000300", "000688", "000852", "000905")
+SH_INDEX = ("000016", "000300", "000688", "000852", "000905")
 
 
 def body_text(body: Column, charset: str = "UTF-8") -> Column:
@@ -59,7 +59,8 @@ def chart(landed: DataFrame, symbol: str) -> DataFrame:
 
 
 def range_for_days(days: Column) -> Column:
-    return F.when(days <= 30, "1mo").when(days <= 90, "3mo").when(days <= 180, "6mo").when(days <= 365, "1y").when(days <= 730, "2y").when(days <= 1825, "5y").otherwise("10y")
+    """The span that a chart is asked for."""
+    return F.when(days <= 120, "6mo").when(days <= 260, "1y").when(days <= 520, "2y").otherwise("5y")
 
 
 def _items(x: DataFrame, source: str) -> DataFrame:
