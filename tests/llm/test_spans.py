@@ -92,3 +92,27 @@ def test_query_columns(spark, sf_dir):
     assert r.columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     r = queries.op9_private_data(spark, sf_dir)
     assert r.columns[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+
+
+def test_runs_of_one_class_are_tested_too(spark):
+    """Random letters of one case and keys in groups are found; long words, joined words, paths, digests and numbers are left alone."""
+    import random
+    import string
+
+    with open(secrets.VOCABULARY, "rb") as f:
+        test = secrets.TokenEfficiency(f.read())
+    rng = random.Random(4)
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        assert sum(test.random("".join(rng.choice(letters) for _ in range(32))) for _ in range(300)) >= 290
+    assert sum(test.random("-".join("".join(rng.choice(string.ascii_uppercase) for _ in range(5)) for _ in range(5))) for _ in range(300)) >= 290
+    clean = ["Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement", "INTERNATIONALIZATION-SETTINGS", "src/main/java/org/example/Application", "the-quick-brown-fox-jumps-over",
+             "2024-01-31T08-00-00.000000", "0" * 40, "deadbeef" * 5, "123e4567-e89b-12d3-a456-426614174000", "--------------------------", "a-b-c-d-e-f-g-h-i-j-k-l-m"]
+    assert [c for c in clean if test.random(c)] == []
+
+
+def test_overlap_with_many_spans(spark):
+    with open(secrets.VOCABULARY, "rb") as f:
+        test = secrets.TokenEfficiency(f.read())
+    text = " ".join("password=hunter2hunter2 XKQJZPLMVTRWQSDKHGTYBNM" for _ in range(4000))
+    base, spans = secrets.scan(text, test)
+    assert len(base) == 4000 and len(spans) == 8000

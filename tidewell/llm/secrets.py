@@ -2,7 +2,8 @@
 
 A byte-pair vocabulary spends few tokens on words and identifiers and many on random
 characters, so a long run with few characters a token is a likely secret. Runs that are known
-digests or identifiers (hash digests, UUIDs, dates, paths, dotted or dashed words) are left out.
+digests or identifiers (hash digests, UUIDs, dates, numbers) are left out. Words joined by signs (paths, dotted or dashed
+names) are told from keys in groups by the vocabulary too, over their letters.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,30 +37,39 @@ KNOWN = re.compile(
     r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
     r"|(?:sha\d+|md5)[-:=].*"
     r"|[0-9+/_=.-]*|\d{4}-?\d\d-?\d\dT[0-9.Z+-]*"  # numbers, dates, rules
-    r"|(?:[A-Z]?[a-z]+|[A-Z]+|\d{1,4})(?:[+/_=.-]+(?:[A-Z]?[a-z]+|[A-Z]+|\d{1,4}))*[+/_=.-]*"  # words, joined by signs
 )
+#: Letters of one case and short numbers, alone or joined by signs.
+WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|\d{1,4})(?:[+/_=.-]+(?:[A-Z]?[a-z]+|[A-Z]+|\d{1,4}))*")
+LETTERS = re.compile(r"[A-Za-z]{3,}")
 
 
 class TokenEfficiency:
-    """Decides whether a run of characters is random, by characters a token."""
+    """Decides whether a run of characters is random, by characters a token.
 
-    def __init__(self, ranks: bytes, least: int = 20, most_ratio: float = 1.9):
+    Letters of one case alone merge a little better than mixed ones, words far better: random ones
+    stay under ``letters_ratio``, words of the documents' languages above 2.1.
+    """
+
+    def __init__(self, ranks: bytes, least: int = 20, most_ratio: float = 1.9, letters_ratio: float = 2.05):
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encoding = tiktoken.Encoding("secrets", pat_str=SPLIT, mergeable_ranks=table, special_tokens={})
-        self.least, self.most_ratio = least, most_ratio
+        self.least, self.most_ratio, self.letters_ratio = least, most_ratio, letters_ratio
 
     def random(self, run: str) -> bool:
         core = run.strip("=.-_/+")
-        if len(core) < self.least or KNOWN.fullmatch(core):
-            return False
-        digits = sum(c.isdigit() for c in core)
-        upper = sum(c.isupper() for c in core)
-        if not (digits and digits < len(core)) and not (upper > 2 and upper < len(core) - 2):
-            return False  # one class of letters only: a word
-        tokens = sum(len(self.encoding.encode_ordinary(core[at : at + 4096])) for at in range(0, len(core), 4096))
-        return len(core) / tokens < self.most_ratio
+        if len(core) < self.least or KNOWN.fullmatch(core) or len({ord(b) - ord(a) for a, b in zip(core, core[1:])}) == 1:
+            return False  # the last: one character over and over, or the alphabet
+        if not WORDS.fullmatch(core):
+            return self.ratio([core]) < self.most_ratio
+        parts = LETTERS.findall(core)
+        return sum(map(len, parts)) >= 0.75 * self.least and self.ratio(parts) < self.letters_ratio
+
+    def ratio(self, parts: list[str]) -> float:
+        """Characters a token."""
+        tokens = sum(len(self.encoding.encode_ordinary(p[at : at + 4096])) for p in parts for at in range(0, len(p), 4096))
+        return sum(map(len, parts)) / max(1, tokens)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -90,13 +102,15 @@ def scan(text: str, test: TokenEfficiency) -> tuple[list[tuple[int, int, str]],
         base += [(at + m.start(), at + m.end(), "hex") for m in HEX.finditer(w)]
     place = lambda s: (s[0], KINDS.index(s[2]))
     base.sort(key=place)
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
     added = []
     for at, w in words:
         for m in RUN.finditer(w):
             if m.end() - m.start() < test.least:
                 continue
             a, b = at + m.start(), at + m.end()
-            if not any(s < b and a < e for s, e, _ in base) and test.random(m.group()):
+            before = bisect_left(starts, b)  # base spans that begin before the run ends
+            if (not before or reach[before - 1] <= a) and test.random(m.group()):
                 added.append((a, b, "entropy"))
     return base, sorted(base + added, key=place)
 
