@@ -18,13 +18,15 @@ def slow(rows):
             continue
         lines = t.split("\n")
         h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-        start = 0
+        roll = [(h[j] + (h[j - 1] * ld.PRIME if j else 0)) % ld.MODULUS for j in range(len(lines))]
+        last, start = len(lines) - 1, 0
         for j in range(len(lines)):
-            roll = h[j] + (h[j - 1] * ld.PRIME if j else 0)
-            if roll % ld.SPACING == 0 or j == len(lines) - 1 or j - start + 1 == ld.LONGEST:
-                if j > start and re.search(r"[^\W_]", c := "\n".join(lines[start : j + 1])):
-                    places.append((i if i is not None else -1, k, start, j + 1, c))
-                start = j + 1
+            if j == last or (0 < j < last - 1 and roll[j - 1] > roll[j] <= roll[j + 1]):
+                while start <= j:
+                    end = j + 1 if j - start <= ld.LONGEST else start + ld.LONGEST
+                    if end > start + 1 and re.search(r"[^\W_]", c := "\n".join(lines[start:end])):
+                        places.append((i if i is not None else -1, k, start, end, c))
+                    start = end
     gone = {}
     for i, k, a, b, c in sorted(places, key=lambda p: (p[0], p[2])):
         if c in seen:
@@ -78,6 +80,19 @@ def test_repeated_rows_share_a_fate(spark):
     assert got[0] == got[1] and got[0][1] == rows[0][1]
 
 
+def test_planted_passages(spark):
+    """Copies of whole texts go entirely; of passages of 6 to 14 lines between other lines, what lies in whole chunks (0.46 of the lines here)."""
+    rng = random.Random(9)
+    line = lambda: " ".join(str(rng.random())[2:8] for _ in range(6))
+    whole = [(i, "\n".join(line() for _ in range(2 + i % 30))) for i in range(60)]
+    got = {r["doc_id"]: r for r in ld.dedup_lines(as_frame(spark, whole + [(100 + i, t) for i, t in whole])).collect()}
+    assert all(got[100 + i]["removed_lines"] == got[i]["n_lines"] and got[i]["removed_lines"] == 0 for i, _ in whole)
+    passage = [[line() for _ in range(n)] for n in (6, 8, 10, 14) for _ in range(10)]
+    rows = [(2 * k + j, "\n".join([line() for _ in range(rng.randint(1, 6))] + p + [line() for _ in range(rng.randint(1, 6))])) for k, p in enumerate(passage) for j in (0, 1)]
+    removed = sum(r["removed_lines"] for r in ld.dedup_lines(as_frame(spark, rows)).collect())
+    assert 0.4 * sum(map(len, passage)) <= removed <= sum(map(len, passage))
+
+
 def test_edge_rows(spark):
     df = frame(spark)
     assert ld.dedup_lines(df).count() == df.count()

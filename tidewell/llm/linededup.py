@@ -1,7 +1,7 @@
 """Line deduplication with content-defined chunks, in DataFrame operations alone.
 
 A text's lines are hashed; a rolling hash over the last WINDOW line hashes ends a chunk where it
-falls on a fixed residue, so the same lines give the same chunks wherever they are moved to.
+is less than at both neighbours, so the same lines give the same chunks wherever they are moved to.
 A chunk of several lines that stands earlier in the corpus already, byte for byte, is removed.
 """
 
@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, join_classes
 
-#: Lines in the rolling hash, its modulus for boundaries, and the most lines of a chunk.
-WINDOW, SPACING, LONGEST = 2, 3, 16
-PRIME = 1_000_003
-#: Rows with shared chunks up to which their places are sent to every task (some 200 bytes each);
-#: beyond, texts and places are shuffled by row.
-MOST_SENT = 200_000
+#: Lines in the rolling hash, and the lines after which a chunk is cut.
+WINDOW, LONGEST = 2, 16
+PRIME, MODULUS = 1_000_003, 2**31 - 1
+#: Bytes of the places of shared chunks up to which they are sent to every task (64 a row and 64 a place, all
+#: of fixed width); beyond, texts and places are shuffled by row.
+MOST_SENT = 32 << 20
 #: A chunk without a letter or digit is never removed.
 SOLID = r"[\p{L}\p{N}]"
 
@@ -33,18 +33,21 @@ def chunk_spans(lines: Column, hashes: str) -> Column:
     """Array of (s, n), the first line (from 0) and the number of lines of each chunk.
 
     A line ends a chunk where the rolling hash there, the sum of hash * PRIME**age over the line
-    and the WINDOW - 1 before it, is 0 modulo SPACING; the last line ends one too. What is longer
-    than LONGEST lines is cut every LONGEST lines from its start.
+    and the WINDOW - 1 before it modulo MODULUS, is less than at the line before and not more than at the line after; so ends
+    are two lines apart or more, three on average. The first line and the last but one end none and the last one does, so only a text of one line is a chunk of one.
+    What is longer than LONGEST + 1 lines is cut every LONGEST lines from its start, a rest of one line left on.
     """
     last = F.size(lines) - 1
 
     def rolled(i: Column) -> Column:
         terms = [F.coalesce(F.get(F.col(hashes), i - age), F.lit(0)) * F.lit(PRIME**age) for age in range(WINDOW)]
-        return reduce(lambda a, b: a + b, terms) % SPACING
+        return reduce(lambda a, b: a + b, terms) % MODULUS
 
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (rolled(i) == 0) | (i == last))
+    rolls = F.transform(hashes, lambda h, i: rolled(i))
+    least = lambda i: (F.get(rolls, i) < F.get(rolls, i - 1)) & (F.get(rolls, i) <= F.get(rolls, i + 1))
+    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | ((i > 0) & (i < last - 1) & least(i)))
     starts = F.slice(F.concat(F.array(F.lit(0)), F.transform(ends, lambda e: e + 1)), F.lit(1), F.size(ends))
-    pieces = F.zip_with(ends, starts, lambda e, s: F.transform(F.sequence(s, e, F.lit(LONGEST)), lambda p: F.struct(p.alias("s"), F.least(e - p + 1, F.lit(LONGEST)).alias("n"))))
+    pieces = F.zip_with(ends, starts, lambda e, s: F.transform(F.sequence(s, F.greatest(s, e - 1), F.lit(LONGEST)), lambda p: F.struct(p.alias("s"), F.when(p + LONGEST < e, LONGEST).otherwise(e - p + 1).alias("n"))))
     return F.flatten(pieces)
 
 
@@ -76,7 +79,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         join_classes(found, shared, ["h", "size"]).groupBy("doc_id", "row")
         .agg(F.collect_set(F.struct("span.s", "span.n", "h", "size", F.coalesce((F.col("first.row") != F.col("row")) | (F.col("first.s") != F.col("span.s")), F.lit(True)).alias("later"))).alias("marks"))
     )
-    few = marks.count() <= most_sent
+    rows, places = marks.agg(F.count("*"), F.coalesce(F.sum(F.size("marks")), F.lit(0))).first()
+    few = 64 * (rows + places) <= most_sent
     slim = marks.select(F.col("row").alias("__row"), F.col("doc_id").alias("__doc"), "marks")
 
     def attach(how: str) -> DataFrame:
@@ -113,10 +117,11 @@ lines AS (
   FROM base WHERE text IS NOT NULL),
 hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM lines),
 rolled AS (
-  SELECT *, (h + COALESCE(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * {PRIME}) % {SPACING} = 0 AS ends FROM hashed),
+  SELECT *, (h + COALESCE(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * {PRIME}) % {MODULUS} AS roll, max(i) OVER (PARTITION BY doc_id) AS last FROM hashed),
+ended AS (SELECT *, i = last OR (i > 0 AND i < last - 1 AND roll < lag(roll) OVER (PARTITION BY doc_id ORDER BY i) AND roll <= lead(roll) OVER (PARTITION BY doc_id ORDER BY i)) AS ends FROM rolled),
 segments AS (
-  SELECT *, COALESCE(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM rolled),
-placed AS (SELECT *, (i - min(i) OVER (PARTITION BY doc_id, seg)) // {LONGEST} AS piece FROM segments),
+  SELECT *, COALESCE(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM ended),
+placed AS (SELECT *, least((i - min(i) OVER (PARTITION BY doc_id, seg)) // {LONGEST}, greatest(0, max(i) OVER (PARTITION BY doc_id, seg) - min(i) OVER (PARTITION BY doc_id, seg) - 1) // {LONGEST}) AS piece FROM segments),
 chunks AS (
   SELECT doc_id, min(i) AS s, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM placed GROUP BY doc_id, seg, piece),
 ranked AS (
