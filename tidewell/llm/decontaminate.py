@@ -8,13 +8,16 @@ looking at, and the item is verified around each hit with Myers's bit-parallel e
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, settle
 
 
 def normal(text: str) -> str:
@@ -128,7 +131,9 @@ class Matcher:
         return got
 
 
-#: The matcher a worker process holds, by the digest of its items: one at a time, kept over tasks.
+#: Blocks of items that one pass over the documents serves.
+BLOCKS = 4
+#: The matchers a worker process holds, by the digest of their items: those of one pass, kept over tasks.
 _held: dict[str, Matcher] = {}
 
 
@@ -138,42 +143,51 @@ def _name(block: list[tuple[int, str]], rate: float) -> str:
 
 def _matcher(name: str, block: list[tuple[int, str]], rate: float) -> Matcher:
     if name not in _held:
-        _held.clear()
+        while len(_held) >= BLOCKS:
+            _held.pop(next(iter(_held)))
         _held[name] = Matcher(block, rate)
     return _held[name]
 
 
+def _passes(found: Iterable[list[tuple[int, str]]]) -> Iterator[list[list[tuple[int, str]]]]:
+    """The blocks in groups that one pass serves."""
+    rest = iter(found)
+    while group := list(islice(rest, BLOCKS)):
+        yield group
+
+
 def leaks(docs: DataFrame, items: DataFrame, rate: float = 0.06, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, end, distance, budget): every item that a document holds within its budget.
 
     The budget is ``rate`` of the item's characters, rounded down; ``end`` is where the item's
     first best match ends in the text in normal form (lower case, blanks collapsed). Items are
-    read to the driver in blocks of at most ``block_bytes`` characters and each block is one pass over the documents, so the
-    automaton a task holds is bounded. Null and empty texts and items match nothing; items that
+    read to the driver in blocks of about ``block_bytes`` characters, and one pass over the documents serves BLOCKS of them, so
+    the automata a task holds are bounded; items beyond that take another pass. Null and empty texts and items match nothing; items that
     repeat are all reported; a repeated document is reported as often as it stands; texts are
     matched whole; an empty table on either side gives no rows.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("end", pa.int64()), ("distance", pa.int64()), ("budget", pa.int64())])
-    def over(block: list[tuple[int, str]]) -> DataFrame:
-        block_name = _name(block, rate)
+
+    def over(group: list[list[tuple[int, str]]]) -> DataFrame:
+        named = [(_name(block, rate), block) for block in group]
 
         def run(batch: pa.RecordBatch) -> dict:
-            matcher = _matcher(block_name, block, rate)
+            matchers = [_matcher(name, block, rate) for name, block in named]
             out: dict[str, list] = {f.name: [] for f in schema}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i, end, d in matcher.find(normal(text or "")):
-                    item = matcher.items[i]
-                    for name, x in zip(out, (doc, item.item_id, end, d, item.budget)):
-                        out[name].append(x)
+                text = normal(text or "")
+                for matcher in matchers:
+                    for i, end, d in matcher.find(text):
+                        item = matcher.items[i]
+                        for name, x in zip(out, (doc, item.item_id, end, d, item.budget)):
+                            out[name].append(x)
             return out
 
         return arrow_map(slim, run, schema)
 
-    found = None
-    for block in blocks(items, item_col, item_text_col, block_bytes):
-        found = over(block) if found is None else found.unionByName(over(block))
-    return over([]) if found is None else found
+    found = [over(group) for group in _passes(blocks(items, item_col, item_text_col, block_bytes))] or [over([])]
+    return reduce(DataFrame.unionByName, found)
 
 
 def blocks(items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4_000_000):
@@ -190,19 +204,24 @@ def blocks(items: DataFrame, item_col: str = "item_id", item_text_col: str = "te
         yield block
 
 
-def clean(docs: DataFrame, items: DataFrame, rate: float = 0.06, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns; a filter, nothing is shuffled."""
-    for block in blocks(items):
-        docs = docs.where(~_holds(block, rate)(F.col(text_col)))
+def clean(docs: DataFrame, items: DataFrame, rate: float = 0.06, text_col: str = "text", block_bytes: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns, whatever their names; a filter, nothing is shuffled.
+
+    Null and empty texts hold nothing and stay; rows that repeat have one fate; without items every row stays. What is left
+    after a pass (BLOCKS blocks of items) is written down before the next.
+    """
+    for i, group in enumerate(_passes(blocks(items, block_bytes=block_bytes))):
+        docs = (settle(docs) if i else docs).where(~_holds(group, rate)(F.col(text_col)))
     return docs
 
 
-def _holds(block: list[tuple[int, str]], rate: float):
-    name = _name(block, rate)
+def _holds(group: list[list[tuple[int, str]]], rate: float):
+    named = [(_name(block, rate), block) for block in group]
 
     @F.pandas_udf("boolean")
     def holds(texts: pd.Series) -> pd.Series:
-        matcher = _matcher(name, block, rate)
-        return pd.Series([bool(matcher.find(normal(t or ""))) for t in texts], dtype=bool)
+        matchers = [_matcher(name, block, rate) for name, block in named]
+        plain = [normal(t or "") for t in texts]
+        return pd.Series([any(m.find(t) for m in matchers) for t in plain], dtype=bool)
 
     return holds
