@@ -9,6 +9,7 @@ share skip potentials; loopy sum-product message passing makes labels agree over
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +118,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], rounds: int = 200, rate: float = 0.5) -> dict:
+def train(texts: Iterable[str], rounds: int = 200, rate: float = 0.5) -> dict:
     """Unary weights by softmax regression, chain and skip weights by agreement counts.
 
     The labels are those of the fixed patterns; candidates without a match are labelled none.
@@ -222,8 +223,8 @@ def scan_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = F.xxhash64("doc_id")
     first = slim.select("doc_id").orderBy(order, "doc_id").limit(sample)
     edge = first.agg(F.max(order)).first()[0]
-    texts = [] if edge is None else [r["text"] for r in slim.where((order <= edge) & (F.length("text") < 20_000)).orderBy(order, "doc_id").limit(sample).select("text").toLocalIterator()]
-    model = train(texts)
+    texts = () if edge is None else (r["text"] or "" for r in slim.where(order <= edge).orderBy(order, "doc_id").limit(sample).select("text").toLocalIterator())
+    model = train(texts)  # whole texts, read one after the other
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
     schema = pa.schema([("doc_id", pa.int64()), ("base", span), ("spans", span)])
 
