@@ -89,7 +89,11 @@ def check(rows, got):
         base = sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in words)
         want.append((i, held(i), len(words), sum(counts[w] > 0 for w in words), total, base, slow.visit(t, slow.cost)))
     key = lambda r: (str(r[0]), r[2], r[5])
-    got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
+    for r in got:
+        assert r["bits_per_byte"] == pytest.approx(-r["score"] / math.log10(2) / r["n_bytes"])
+    size = lambda t: sum(len(w) + 1 for w in (t or "").encode().split()) + 1
+    assert sorted(r["n_bytes"] for r in got) == sorted(size(t) for _, t in rows)
+    got, want = sorted((tuple(r)[:7] for r in got), key=key), sorted(want, key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     assert np.array([r[5:] for r in got]) == pytest.approx(np.array([r[5:] for r in want]), rel=1e-9)
 

@@ -399,8 +399,23 @@ def word_scores(words: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     return rows.join(costs, "key", "left").groupBy("word", "junction", "n").agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("score"))
 
 
+def _commonest(units: DataFrame, most: int) -> DataFrame:
+    """The units whose counts lie in the highest classes that together hold at most ``most``: a filter by a histogram of some hundred classes, nothing is sorted."""
+    kind = F.floor(16 * F.log2(F.col("n") + 1))
+    found = sorted(((r["kind"], r["count"]) for r in units.groupBy(kind.alias("kind")).count().collect()), reverse=True)
+    total, least = 0, None
+    for k, count in found:
+        total += count
+        if total > most:
+            break
+        least = k
+    return units.where(kind >= least) if least is not None else units.limit(0)
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: tuple[int, int] = (HEAD_WORDS, HEAD_JUNCTIONS), most_sent: int = MOST_SENT) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) for every row.
+
+    n_bytes are the bytes coded (each word and its blank, and the end), bits_per_byte the mixture's code length for one.
 
     Rows with crc32(id) mod 10 = 0 are held out of the learning (a null id counts as the empty
     string). base_score is the unigram score with add-0.1 smoothing, score the mixture's. Null and
@@ -416,8 +431,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total, distinct = words.where(is_word).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.count_if(F.col("n") > 0), F.lit(0))).first()
     mass = total + 0.1 * (distinct + 1)
     scored = settle(word_scores(words, most_sent))
-    common = scored.where(is_word).orderBy(F.desc("n"), "word").limit(head[0]).select("word", "n", "score").toArrow()
-    joints = scored.where(~is_word).orderBy(F.desc("n"), "junction").limit(head[1]).select("junction", "score").toArrow()
+    common = _commonest(scored.where(is_word), head[0]).select("word", "n", "score").toArrow()
+    joints = _commonest(scored.where(~is_word), head[1]).select("junction", "score").toArrow()
     n, joint = common.column("n").to_numpy(), joints.column("junction").to_numpy()
     order = np.argsort(joint)
     sent = docs.sparkSession.sparkContext.broadcast((
@@ -426,7 +441,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ))
     schema = pa.schema([
         ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("junction", pa.int64()), ("times", pa.int64()),
-        ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
+        ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
     ])
 
     def run(batches):
@@ -466,21 +481,23 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             k = len(of) - m
             own = lambda x: np.concatenate([np.zeros(k, x.dtype), x])  # noqa: B023, E731
             n = np.fromiter(map(len, words), np.int64, m)
+            size = n + np.fromiter((sum(map(len, w)) for w in words), np.int64, m)
             yield pa.RecordBatch.from_arrays([
                 pa.array(start + of), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array([w for t in tail for w in t[1]], pa.binary()),
-                pa.array(np.concatenate([t[2] for t in tail])), pa.array(np.concatenate([t[3] for t in tail])), pa.array(own(n)), pa.array(own(known)), pa.array(own(sums[:, 0])), pa.array(own(sums[:, 1])),
+                pa.array(np.concatenate([t[2] for t in tail])), pa.array(np.concatenate([t[3] for t in tail])), pa.array(own(n)), pa.array(own(size)), pa.array(own(known)), pa.array(own(sums[:, 0])), pa.array(own(sums[:, 1])),
             ], schema=schema)
             start += m
 
-    parts = slim.mapInArrow(run, "row long, doc_id long, held_out boolean, word binary, junction long, times long, n_tokens long, n_known long, base double, score double")
+    parts = slim.mapInArrow(run, "row long, doc_id long, held_out boolean, word binary, junction long, times long, n_tokens long, n_bytes long, n_known long, base double, score double")
     tail = scored.select("word", "junction", F.col("n").alias("c"), F.col("score").alias("own"))
     c = F.coalesce("c", F.lit(0))
     unigram = F.when(is_word, F.log10((c + F.lit(0.1)) / F.lit(mass))).otherwise(0.0)
     met = parts.join(tail, ["word", "junction"], "left").select(
-        "row", "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.when(is_word & (c > 0), F.col("times")).otherwise(0)).alias("n_known"),
+        "row", "doc_id", "held_out", "n_tokens", "n_bytes", (F.col("n_known") + F.when(is_word & (c > 0), F.col("times")).otherwise(0)).alias("n_known"),
         (F.col("base") + F.col("times") * unigram).alias("base"), (F.col("score") + F.col("times") * F.coalesce("own", F.lit(0.0))).alias("score"),
     )
     return met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score"),
+        F.sum("n_bytes").alias("n_bytes"), (-F.sum("score") / math.log10(2) / F.sum("n_bytes")).alias("bits_per_byte"),
     ).drop("row")
