@@ -29,7 +29,17 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
 
-def chunk_spans(lines: Column, hashes: str) -> Column:
+def rolled(hashes: str) -> Column:
+    """The rolling hash at each line."""
+
+    def one(i: Column) -> Column:
+        terms = [F.coalesce(F.get(F.col(hashes), i - age), F.lit(0)) * F.lit(PRIME**age) for age in range(WINDOW)]
+        return reduce(lambda a, b: a + b, terms) % MODULUS
+
+    return F.transform(hashes, lambda h, i: one(i))
+
+
+def chunk_spans(lines: Column, rolls: str) -> Column:
     """Array of (s, n), the first line (from 0) and the number of lines of each chunk.
 
     A line ends a chunk where the rolling hash there, the sum of hash * PRIME**age over the line
@@ -39,11 +49,6 @@ def chunk_spans(lines: Column, hashes: str) -> Column:
     """
     last = F.size(lines) - 1
 
-    def rolled(i: Column) -> Column:
-        terms = [F.coalesce(F.get(F.col(hashes), i - age), F.lit(0)) * F.lit(PRIME**age) for age in range(WINDOW)]
-        return reduce(lambda a, b: a + b, terms) % MODULUS
-
-    rolls = F.transform(hashes, lambda h, i: rolled(i))
     least = lambda i: (F.get(rolls, i) < F.get(rolls, i - 1)) & (F.get(rolls, i) <= F.get(rolls, i + 1))
     ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | ((i > 0) & (i < last - 1) & least(i)))
     starts = F.slice(F.concat(F.array(F.lit(0)), F.transform(ends, lambda e: e + 1)), F.lit(1), F.size(ends))
@@ -68,7 +73,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split("text", "\n", -1)
     spans = (
         base.where("text IS NOT NULL").select("doc_id", "row", lines.alias("lines")).withColumn("h", F.transform("lines", line_hash))
-        .select("doc_id", "row", "lines", F.explode(chunk_spans(F.col("lines"), "h")).alias("span")).where("span.n > 1")
+        .withColumn("rolls", rolled("h"))  # a column of its own: worked out once a text, not once a line
+        .select("doc_id", "row", "lines", F.explode(chunk_spans(F.col("lines"), "rolls")).alias("span")).where("span.n > 1")
         .select("doc_id", "row", "span", joined(F.col("lines"), F.col("span")).alias("chunk")).where(F.regexp_like("chunk", F.lit(SOLID)))
     )
     key = F.xxhash64("chunk") if digest is None else digest
