@@ -2,11 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Nodes that a task holds at once while it draws its own edges together.
+HELD = 1 << 18
+
+
+def _forest(edges: DataFrame, held: int) -> DataFrame:
+    """(u, v): each task's edges (a, b) drawn together to stars, u to the least node v that its edges reach.
+
+    Nothing is shuffled. Past ``held`` nodes the stars are given out and new ones begun, so memory is bounded.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        def stars() -> pa.RecordBatch:
+            u = [x for x in up if up[x] != x]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (u, [find(x) for x in u])], names=["u", "v"])
+
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = find(a), find(b)
+                up[max(a, b)] = min(a, b)
+            if len(up) > held:
+                yield stars()
+                up.clear()
+        yield stars()
+
+    return edges.select("a", "b").mapInArrow(run, "u long, v long")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (u, v) are stars already: each u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("node"), "v").unionByName(edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("v")))
+    seen = ends.groupBy("node").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max(F.col("v").isNull()).alias("center"))
+    return seen.where(F.col("low").isNotNull() & (F.col("center") | (F.col("low") != F.col("high")))).agg(F.count("*")).first()[0] == 0
+
 
 def _least(edges: DataFrame) -> DataFrame:
     """For each node the least of itself and its neighbours."""
@@ -30,24 +73,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): root is the least node that can be reached.
+def components(edges: DataFrame, most_rounds: int = 60, held: int = HELD) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b; long) that differs from its neighbour: root is the least node that can be reached.
 
-    Each round is two aggregations with partial sums and two equi-joins on the node, so a
+    Each task first draws its own edges together, so no more than a forest is shuffled. Each round is
+    two aggregations with partial sums and two equi-joins on the node, so a
     node with very many neighbours is split by AQE rather than gathered. Rounds grow with the
-    logarithm of the longest path. Each is cut by a checkpoint. Only two sums reach the driver.
-    No edges give no rows.
+    logarithm of the longest path and end when only stars are left. Each is cut by a checkpoint. Only
+    one count a round reaches the driver. No edges give no rows.
     """
-    now = cut(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .where(F.col("u") != F.col("v")).distinct()
-    )
-    before = None
+    now = cut(_forest(edges, held).distinct())
     for _ in range(most_rounds):
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == before or not seen[0]:
+        if _settled(now):
             break
-        before = tuple(seen)
         now = cut(_small_star(_large_star(now)))
     else:
         raise RuntimeError("components did not settle")
