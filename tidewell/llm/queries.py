@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, hilbert, langid, linededup, media, mixing, private, secrets, simhash
+from . import ctw, decontaminate, hilbert, langid, linededup, media, mixing, phrases, private, reputation, secrets, simhash, whitening
 from .common import table
 
 
@@ -61,6 +61,20 @@ def op10_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op12_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of a page's id is its outcome: good if of quality and not toxic."""
+    labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL")
+    return reputation.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), F.expr("quality = 1 AND toxic = 0").alias("good")))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -73,8 +87,11 @@ def queries() -> dict:
         "op8_chroma_fingerprints": op8_chroma_fingerprints,
         "op9_private_data": op9_private_data,
         "op10_context_tree_scores": op10_context_tree_scores,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_host_reputation": op12_host_reputation,
+        "op13_phrase_collocations": op13_phrase_collocations,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_source_mixing": mixing.SQL, "op5_line_dedup": linededup.SQL}
+    return {"op2_source_mixing": mixing.SQL, "op5_line_dedup": linededup.SQL, "op12_host_reputation": reputation.sql(), "op13_phrase_collocations": phrases.SQL}
