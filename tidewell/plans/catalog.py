@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..streaming import heat
-from . import prices, research, signals, sql
+from . import prices, publications, research, signals, sql
 
-_ALL = prices.QUERIES | signals.QUERIES | research.QUERIES | {"heat_stream": (heat.heat_stream, heat.SQL)}
+_ALL = prices.QUERIES | signals.QUERIES | research.QUERIES | publications.QUERIES | {"heat_stream": (heat.heat_stream, heat.SQL)}
 
 
 def queries() -> dict:
