@@ -33,24 +33,50 @@ def review_date(as_of: Column, horizon: Column) -> Column:
     return F.date_add(as_of, F.bround(1.45 * horizon).cast("int"))
 
 
+#: The valuation framework under which a valuation that has no meaning does not stand against a buy.
+PIPELINE_VALUATION = "pipeline_milestone_and_risk_adjusted_cashflow"
+
+
+def gate_checks(profile: str = "balanced") -> dict[str, Column]:
+    """The conditions of a buy by name, each true or false."""
+    ok = lambda c: F.coalesce(c, F.lit(False))
+    pipeline = (F.col("valuation_framework") == PIPELINE_VALUATION) & (F.col("valuation_verdict") == "not_meaningful")
+    checks = {
+        "stock_score_at_least_65": F.col("score") >= 65, "sector_score_at_least_55": F.col("sector_score") >= 55, "backtest_positive_excess": F.col("mean_excess") > 0, "backtest_excess_hit_at_least_50pct": F.col("excess_hit") >= 0.5,
+        "fundamental_pass": F.col("fundamental_verdict") == "pass", "catalyst_present": F.col("catalyst_status").isin("confirmed", "plausible"), "valuation_allowed": ok(F.col("valuation_verdict").isin("attractive", "fair")) | ok(pipeline),
+        "risk_level_allowed": F.col("risk_level").isin("medium", "high"), "timing_state_triggered_or_retest": F.col("timing_state").isin("triggered", "retest"), "timing_backtest_usable": F.col("timing_gate") == "usable",
+        "timing_risk_within_profile_cap": (F.col("risk_distance_pct") > 0) & (F.col("risk_distance_pct") <= PROFILES[profile]["risk_cap"]),
+    }
+    return {name: ok(c) for name, c in checks.items()}
+
+
+def ready_only(candidates: DataFrame, gates: DataFrame, by: str = "document") -> DataFrame:
+    """Candidates of briefs whose gate is ready; there is no recommendation on the others."""
+    return candidates.join(gates.where("ready").select(by), by, "left_semi")
+
+
 def recommend(candidates: DataFrame, profile: str = "balanced", by: str = "sector") -> DataFrame:
     """Actions and sizes of candidates (score, sector_score, verdicts, selector and timing results, risk distance).
 
-    All eleven conditions make a buy. A size is bounded by conviction, by the risk budget over the
-    distance to the stop, and by the profile's single cap; sizes of one theme are scaled to its cap.
+    All conditions of ``gate_checks`` make a buy. A size is bounded by conviction, by the risk budget over the trade plan's
+    ``technical_risk_pct`` (without such a column the timing state's distance, two digits), and by the profile's single cap; sizes of one theme are scaled
+    to its cap. ``valuation_framework`` may be missing.
     """
     p = PROFILES[profile]
     ok = lambda c: F.coalesce(c, F.lit(False))
+    if "valuation_framework" not in candidates.columns:
+        candidates = candidates.withColumn("valuation_framework", F.lit(None).cast("string"))
+    if "technical_risk_pct" not in candidates.columns:
+        candidates = candidates.withColumn("technical_risk_pct", rnd("risk_distance_pct", 2))
     conviction = sum((w * (F.coalesce(F.col(c), F.lit(0.0)) if c in ("score", "sector_score") else points(c)) for c, w in CONVICTION), F.lit(0.0))
-    gate = (
-        ok(F.col("score") >= 65) & ok(F.col("sector_score") >= 55) & ok(F.col("mean_excess") > 0) & ok(F.col("excess_hit") >= 0.5) & ok(F.col("fundamental_verdict") == "pass")
-        & ok(F.col("catalyst_status").isin("confirmed", "plausible")) & ok(F.col("valuation_verdict").isin("attractive", "fair")) & ok(F.col("risk_level").isin("medium", "high"))
-        & ok(F.col("timing_state").isin("triggered", "retest")) & ok(F.col("timing_gate") == "usable") & ok((F.col("risk_distance_pct") > 0) & (F.col("risk_distance_pct") <= p["risk_cap"]))
-    )
     avoid = ok(F.col("fundamental_verdict") == "fail") | ok(F.col("risk_level") == "very_high") | ok(F.col("score") < 45)
-    c = candidates.withColumns({"conviction": rnd(conviction, 2), "buy_gate": gate}).withColumn("action", F.when(gate, "buy").when(avoid, "avoid").otherwise("wait"))
+    checks = F.create_map(*[x for name, c in gate_checks(profile).items() for x in (F.lit(name), c)])
+    c = candidates.withColumns({"conviction": rnd(conviction, 2), "gate_checks": checks}).withColumn("buy_gate", F.forall(F.map_values("gate_checks"), lambda x: x))
+    c = c.withColumn("action", F.when(F.col("buy_gate"), "buy").when(avoid, "avoid").otherwise("wait"))
     strength = clamp((F.col("conviction") - 60) / 25, 0, 1)
-    size = F.least(p["single"] * (0.5 + 0.5 * strength), p["budget"] / F.col("risk_distance_pct") * 100, F.lit(p["single"]))
+    # a plan without a distance to its stop gets no position
+    risk_cap = F.when(F.col("technical_risk_pct") > 0, p["budget"] / F.col("technical_risk_pct") * 100)
+    size = F.when(risk_cap.isNotNull(), F.least(p["single"] * (0.5 + 0.5 * strength), risk_cap, F.lit(p["single"]))).otherwise(0.0)
     c = c.withColumn("raw", F.when(F.col("action") == "buy", rnd(size, 2)).otherwise(0.0))
     total = F.sum("raw").over(Window.partitionBy(by))
     scale = F.when(total > 0, F.least(F.lit(1.0), p["theme"] / total)).otherwise(1.0)

@@ -110,9 +110,10 @@ def portfolio_controls(spark, d):
 
 
 def sizing(spark, d):
-    """Sizes where the gates are forced open, so that the caps and the theme's scale bind."""
+    """Sizes where the gates are forced open, so that the caps and the theme's scale bind; half by a valuation without meaning, as a pipeline's is."""
     c = _candidates(spark, d)
-    opened = c.withColumns({"score": F.greatest(F.col("score"), F.lit(65.0)) + F.regexp_extract("code", r"(\d+)", 1).cast("double"), "sector_score": F.lit(70.0), "mean_excess": F.lit(1.0), "excess_hit": F.lit(0.6), "fundamental_verdict": F.lit("pass"), "valuation_verdict": F.lit("fair"),
+    n = F.regexp_extract("code", r"(\d+)", 1).cast("int")
+    opened = c.withColumns({"score": F.greatest(F.col("score"), F.lit(65.0)) + F.regexp_extract("code", r"(\d+)", 1).cast("double"), "sector_score": F.lit(70.0), "mean_excess": F.lit(1.0), "excess_hit": F.lit(0.6), "fundamental_verdict": F.lit("pass"), "valuation_verdict": F.when(n % 2 == 0, "not_meaningful").otherwise("fair"), "valuation_framework": F.when(n % 4 == 0, decision.PIPELINE_VALUATION), "technical_risk_pct": 5.0 + n / 4,
                             "catalyst_status": F.lit("confirmed"), "risk_level": F.lit("medium"), "timing_state": F.lit("triggered"), "timing_gate": F.lit("usable"), "risk_distance_pct": 6.0 + F.regexp_extract("code", r"(\d+)", 1).cast("double") / 5})
     r = decision.recommend(opened, "conservative")
     return r.select("sector", "code", "action", "conviction", "position_pct")
@@ -270,17 +271,17 @@ gate AS (SELECT code, CASE WHEN trades >= 20 AND mean_net_return_pct > 0 AND mea
 cd AS (SELECT t.sector, t.code, t.score, ss.sector_score, sel.mean_excess, sel.excess_hit_rate AS excess_hit, n.timing_state, n.risk_distance_pct, g.timing_gate, CAST(regexp_extract(t.code, '(\\d+)', 1) AS INT) AS n
   FROM top3 t JOIN ss ON t.sector = ss.sector JOIN sel ON t.sector = sel.sector LEFT JOIN stnow n ON t.code = n.code LEFT JOIN gate g ON t.code = g.code),
 """
-_VERDICT = """cv AS (SELECT *, ['pass', 'watch', 'fail'][n % 3 + 1] AS fv, ['fair', 'attractive', 'expensive', 'not_meaningful'][n % 4 + 1] AS vv, ['confirmed', 'plausible', 'absent'][(n + 1) % 3 + 1] AS cs, ['medium', 'high', 'medium', 'very_high'][(n + 2) % 4 + 1] AS rl FROM cd)"""
-_FORCED = """cv AS (SELECT sector, code, greatest(score, 65.0) + n AS score, 70.0::DOUBLE AS sector_score, 1.0 AS mean_excess, 0.6 AS excess_hit, 'triggered' AS timing_state, 6.0::DOUBLE + n / 5::DOUBLE AS risk_distance_pct, 'usable' AS timing_gate, 'pass' AS fv, 'fair' AS vv, 'confirmed' AS cs, 'medium' AS rl FROM cd)"""
+_VERDICT = """cv AS (SELECT *, ['pass', 'watch', 'fail'][n % 3 + 1] AS fv, ['fair', 'attractive', 'expensive', 'not_meaningful'][n % 4 + 1] AS vv, ['confirmed', 'plausible', 'absent'][(n + 1) % 3 + 1] AS cs, ['medium', 'high', 'medium', 'very_high'][(n + 2) % 4 + 1] AS rl, false AS pipeline, round(risk_distance_pct, 2) AS plan_risk FROM cd)"""
+_FORCED = """cv AS (SELECT sector, code, greatest(score, 65.0) + n AS score, 70.0::DOUBLE AS sector_score, 1.0 AS mean_excess, 0.6 AS excess_hit, 'triggered' AS timing_state, 6.0::DOUBLE + n / 5::DOUBLE AS risk_distance_pct, 'usable' AS timing_gate, 'pass' AS fv, CASE WHEN n % 2 = 0 THEN 'not_meaningful' ELSE 'fair' END AS vv, 'confirmed' AS cs, 'medium' AS rl, n % 4 = 0 AS pipeline, 5.0::DOUBLE + n / 4::DOUBLE AS plan_risk FROM cd)"""
 
 
 def _recommended(profile: str) -> str:
     p = decision.PROFILES[profile]
     pts = lambda col, name: "CASE " + " ".join(f"WHEN {col} = '{k}' THEN {v}" for k, v in decision.POINTS[name].items()) + " ELSE 0 END"
     return f"""rc0 AS (SELECT *, round(0.45::DOUBLE * score + 0.20::DOUBLE * coalesce(sector_score, 0) + 0.15::DOUBLE * ({pts('fv', 'fundamental_verdict')}) + 0.10::DOUBLE * ({pts('cs', 'catalyst_status')}) + 0.05::DOUBLE * ({pts('vv', 'valuation_verdict')}) + 0.05::DOUBLE * ({pts('rl', 'risk_level')}), 2) AS conviction,
-      coalesce(score >= 65 AND sector_score >= 55 AND mean_excess > 0 AND excess_hit >= 0.5 AND fv = 'pass' AND cs IN ('confirmed', 'plausible') AND vv IN ('attractive', 'fair') AND rl IN ('medium', 'high') AND timing_state IN ('triggered', 'retest') AND timing_gate = 'usable' AND risk_distance_pct > 0 AND risk_distance_pct <= {p['risk_cap']}, false) AS buy_gate FROM cv),
+      coalesce(score >= 65 AND sector_score >= 55 AND mean_excess > 0 AND excess_hit >= 0.5 AND fv = 'pass' AND cs IN ('confirmed', 'plausible') AND (vv IN ('attractive', 'fair') OR pipeline AND vv = 'not_meaningful') AND rl IN ('medium', 'high') AND timing_state IN ('triggered', 'retest') AND timing_gate = 'usable' AND risk_distance_pct > 0 AND risk_distance_pct <= {p['risk_cap']}, false) AS buy_gate FROM cv),
     rc1 AS (SELECT *, CASE WHEN buy_gate THEN 'buy' WHEN fv = 'fail' OR rl = 'very_high' OR score < 45 THEN 'avoid' ELSE 'wait' END AS action FROM rc0),
-    rc2 AS (SELECT *, CASE WHEN buy_gate THEN round(least({p['single']}::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * greatest(0, least(1, (conviction - 60) / 25))), {p['budget']}::DOUBLE / risk_distance_pct * 100, {p['single']}::DOUBLE), 2) ELSE 0 END AS raw FROM rc1),
+    rc2 AS (SELECT *, CASE WHEN buy_gate THEN round(least({p['single']}::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * greatest(0, least(1, (conviction - 60) / 25))), {p['budget']}::DOUBLE / plan_risk * 100, {p['single']}::DOUBLE), 2) ELSE 0 END AS raw FROM rc1),
     rec AS (SELECT *, round(raw * CASE WHEN sum(raw) OVER (PARTITION BY sector) > 0 THEN least(1.0::DOUBLE, {p['theme']}::DOUBLE / sum(raw) OVER (PARTITION BY sector)) ELSE 1 END, 2) AS position_pct, row_number() OVER (PARTITION BY sector ORDER BY (action = 'buy')::INT DESC, conviction DESC, code) AS place FROM rc2)"""
 
 

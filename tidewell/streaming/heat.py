@@ -37,18 +37,21 @@ def first_titles(articles: DataFrame, late: str = "7 days") -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there; its result is a table in the shared folder, by name."""
+    """Runs a stream over what is there; its result is a table in the shared folder, by name.
+
+    What a batch appends goes to a folder of the batch's number, so a batch that is run again replaces itself.
+    """
     path = f"{shared_dir(stream.sparkSession)}/{name}"
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(path)
 
 
 def one_position(signals: DataFrame, horizon: int) -> DataFrame:
