@@ -78,6 +78,12 @@ def slug(text: Column, default: str = "item") -> Column:
     return F.when(F.coalesce(s, F.lit("")) == "", F.lit(default)).otherwise(s)
 
 
+def identifier(text: Column, default: str = "item") -> Column:
+    """A name that is safe in paths: other signs than letters, digits, point, underline and dash become one dash."""
+    s = F.trim(F.regexp_replace(F.trim(text), r"[^A-Za-z0-9._-]+", "-"), F.lit("-"))
+    return F.when(F.coalesce(s, F.lit("")) == "", F.lit(default)).otherwise(s)
+
+
 def redact(url: Column) -> Column:
     """The address with the values of secret parameters and the user blanked."""
     u = F.regexp_replace(url, r"(?i)([?&](?:api_?key|token|secret|password|access_token|key|signature|sig)=)[^&#]*", "$1REDACTED")
