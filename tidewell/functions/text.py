@@ -90,7 +90,7 @@ def redact(url: Column) -> Column:
     return F.regexp_replace(u, r"(?i)^([a-z][a-z0-9+.-]*://)[^/@\s]+@", "$1***@")
 
 
-def timestamp(text: Column, fallback: Column | None = None, zone: str = "UTC") -> Column:
+def timestamp(text: Column, fallback: Column | None = None, zone: str | Column = "UTC") -> Column:
     """Seconds or milliseconds since 1970, RFC 2822, or ISO forms; times without a zone are of ``zone``. Null, or ``fallback``, where none fits."""
     t = F.trim(text)
     digits = F.regexp_like(t, F.lit(r"^\d{10,13}$"))
@@ -98,7 +98,7 @@ def timestamp(text: Column, fallback: Column | None = None, zone: str = "UTC") -
     plain = F.regexp_replace(F.regexp_replace(t, r"^[A-Za-z]{3},\s*", ""), r"\s(GMT|UTC|Z)$", " +0000")
     zoned = [("d MMM yyyy HH:mm:ss Z", plain), ("yyyy-MM-dd'T'HH:mm:ssXXX", t), ("yyyyMMdd'T'HHmmss'Z'", t)]
     local = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm:ss", "yyyyMMdd", "yyyy-MM-dd"]
-    there = lambda x: x if zone.upper() == "UTC" else F.to_utc_timestamp(x, zone)
+    there = lambda x: x if isinstance(zone, str) and zone.upper() == "UTC" else F.to_utc_timestamp(x, zone)
     got = [F.when(digits, F.timestamp_seconds(epoch))] + [F.when(~digits, F.try_to_timestamp(x, F.lit(f))) for f, x in zoned] + [F.when(~digits, there(F.try_to_timestamp(t, F.lit(f)))) for f in local] + [F.when(~digits, F.try_to_timestamp(t))]
     return F.coalesce(*got, *([fallback] if fallback is not None else []))
 
