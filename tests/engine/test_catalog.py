@@ -14,7 +14,7 @@ NAMES = (
     "bars_daily", "bars_clean", "bars_weekly", "weekly_completed_state", "feature_vector", "stock_score", "score_explain", "breadth_by_date", "timing_state", "timing_trades", "lead_lag_pairs", "event_reaction",
     "market_mood_daily", "text_signals", "topic_heat", "url_canonical", "html_text", "fact_validation", "collection_gate", "site_match", "outlook_plan", "review_queue", "journal_stats_tag", "journal_verify",
     "publication_errors", "publication_valid", "finalization_errors", "finalized_briefs", "fetch_cache_stream", "sizing", "archive_saves", "archive_verification",
-    "news_collection", "news_newest", "news_attempts", "landed_market_snapshot",
+    "news_collection", "news_newest", "news_attempts", "landed_market_snapshot", "fetch_histories", "fetch_coverage",
 )
 
 

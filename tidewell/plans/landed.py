@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources import collection, panels, snapshots
+from ..sources import collection, landing, panels, snapshots
+from .cuts import shared_dir
 
 RETRIEVED = "2024-03-01 00:00:00"
 
@@ -100,6 +103,27 @@ def landed_market_snapshot(spark, d):
     return s.withColumns({"ladder": ladder, "indices": F.array_join(F.transform("indices", lambda i: F.concat(i["name"], F.lit("="), i["code"])), ","), "warnings": F.array_join("warnings", ";")})
 
 
+def _fetches(spark, d):
+    """Every page is fetched up to four times and landed as lines, some of them broken; the folder is read back as a data source."""
+    p = panels.table(spark, d, "pages").select(F.col("page_id").alias("k"), F.concat(F.lit("site"), (F.col("page_id") % 20).cast("string")).alias("source"), F.concat(F.lit("https://h.org/"), F.col("page_id")).alias("url"))
+    x = p.withColumn("attempt", F.explode(F.expr("sequence(1, 1 + k % 4)"))).withColumn("r", (F.col("k") + F.col("attempt")) % 5)
+    status = F.when(F.col("r").isin(0, 4), 200).when(F.col("r") == 1, 503).when(F.col("r") == 2, 404).when(F.col("r") == 3, 429)
+    path = f"{shared_dir(spark)}/fetches-{uuid.uuid4().hex}"
+    landing.land(x.select("source", "url", "attempt", status.alias("http_status"), F.when(F.col("r") == 4, "").otherwise("body").alias("body"), F.concat(F.lit("2024-01-0"), F.col("attempt"), F.lit("T00:00:00Z")).alias("retrieved_at")), path)
+    p.where("k % 37 = 0").select("source", F.concat(F.lit("{broken "), "k").alias("value")).write.mode("append").partitionBy("source").text(path)
+    return p, landing.read(spark, path)
+
+
+def fetch_histories(spark, d):
+    return landing.histories(_fetches(spark, d)[1])
+
+
+def fetch_coverage(spark, d):
+    p, landed = _fetches(spark, d)
+    asked = p.select("source", "url").unionByName(p.where("k % 10 = 0").select("source", F.concat("url", F.lit("/never")).alias("url")))
+    return landing.coverage(landed, asked).withColumn("as_of", F.date_format("as_of", "yyyy-MM-dd"))
+
+
 _NEWS = """WITH p AS (SELECT page_id AS k, page_id % 8 AS kind, page_id % 40 = 0 AND page_id % 23 <> 0 AS lead, page_id % 19 = 0 AS none, page_id % 23 = 0 AS unheard,
   page_id % 29 = 0 OR (page_id % 8 = 4 AND page_id % 3 = 0) AS dry FROM pages),
 i0 AS (SELECT *, 0 AS place, 'Item ' || k || ' & co' AS title, CASE WHEN kind = 6 THEN 'https://www.cls.cn/telegraph/' || (k % 100) ELSE 'http://x.org/p' || (k % 100) || '?id=1' END AS url, 'sum ' || k AS excerpt, '2024-01-' || lpad(CAST(k % 28 + 1 AS VARCHAR), 2, '0') AS period, '10:00:00' AS t FROM p
@@ -121,11 +145,20 @@ SELECT g.c AS market, CASE WHEN b THEN a END AS advance_count, CASE WHEN b THEN
   CASE WHEN q THEN '上证指数=000001' || CASE WHEN k % 5 = 0 THEN '' ELSE ',深证成指=399001' END ELSE '' END AS indices, CASE WHEN q THEN CASE WHEN k % 5 = 0 THEN (k % 9 - 4) / 2.0::DOUBLE ELSE ((k % 9 - 4) / 2.0::DOUBLE + (k % 7 - 3) / 2.0::DOUBLE) / 2 END END AS index_return,
   concat_ws(';', CASE WHEN NOT b THEN 'breadth unavailable' END, CASE WHEN NOT u THEN 'limit_up pool unavailable' END, CASE WHEN NOT q THEN 'index momentum unavailable' END) AS warnings FROM g LEFT JOIN l ON l.c = g.c"""
 
+_FETCH = """WITH p AS (SELECT page_id AS k, 'site' || (page_id % 20) AS source, 'https://h.org/' || page_id AS url FROM pages),
+x AS (SELECT *, (k + attempt) % 5 AS r FROM (SELECT *, unnest(range(1, 2 + k % 4)) AS attempt FROM p)),
+h AS (SELECT source, url, count(*) AS attempts, count(*) FILTER (r <> 0 AND r <> 2) AS transient, round(coalesce(sum(0.6::DOUBLE * pow(2, attempt - 1)) FILTER (r <> 0 AND r <> 2 AND attempt < 3), 0), 3) AS waited_seconds, CAST(arg_max(CASE WHEN r IN (0, 4) THEN 200 WHEN r = 1 THEN 503 WHEN r = 2 THEN 404 ELSE 429 END, attempt) AS INT) AS http_status,
+  CASE WHEN arg_max(r, attempt) = 0 THEN 'success' WHEN arg_max(r, attempt) <> 2 AND max(attempt) < 3 THEN 'pending' ELSE 'failed' END AS outcome FROM x GROUP BY 1, 2)"""
+
 QUERIES = {
     "news_collection": (news_collection, _NEWS + _FACTS.format(match="true")),
     "news_newest": (news_newest, _NEWS + _FACTS.format(match=_WORDS) + " ORDER BY published_at DESC, fact_id DESC LIMIT 200"),
     "news_attempts": (news_attempts, _NEWS + f""", n AS (SELECT k, count(*) AS items, count(*) FILTER ({_WORDS}) AS matched FROM i GROUP BY 1)
 SELECT 'src' || p.k AS source, p.k AS ordinal, CASE WHEN items > 0 THEN 'success' ELSE 'failed' END AS outcome, CASE WHEN p.k % 3 = 0 THEN 'stale' WHEN p.k % 3 = 1 THEN 'cached' ELSE 'fresh' END AS retrieval, coalesce(items, 0) AS item_count, coalesce(matched, 0) AS matched,
   CASE WHEN p.none THEN 'not fetched' WHEN unheard THEN 'unknown parser unheard' WHEN items IS NULL THEN 'no usable items' END AS error FROM p LEFT JOIN n ON n.k = p.k"""),
+    "fetch_histories": (fetch_histories, _FETCH + " SELECT source, url, attempts, transient, waited_seconds, http_status, outcome FROM h"),
+    "fetch_coverage": (fetch_coverage, _FETCH + """, a AS (SELECT source, count(*) AS asked, count(outcome) AS landed, count(*) FILTER (outcome = 'success') AS succeeded, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'pending') AS pending
+  FROM (SELECT source, outcome FROM h UNION ALL SELECT source, NULL FROM p WHERE k % 10 = 0) GROUP BY 1), m AS (SELECT source, count(*) FILTER (k % 37 = 0) AS malformed FROM p GROUP BY 1), t AS (SELECT source, max(attempt) FILTER (r IN (0, 4)) AS last FROM x GROUP BY 1)
+SELECT a.source, asked, landed, succeeded, failed, pending, malformed, round(succeeded / asked::DOUBLE, 4) AS coverage, '2024-01-0' || last AS as_of FROM a JOIN m ON m.source = a.source JOIN t ON t.source = a.source"""),
     "landed_market_snapshot": (landed_market_snapshot, _MARKET),
 }
