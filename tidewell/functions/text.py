@@ -30,10 +30,20 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", "")
 
 
-def phrase_count(text: Column, phrases: list[str]) -> Column:
-    """Non-overlapping occurrences of all phrases together."""
+def has_han(text: Column) -> Column:
+    return F.regexp_like(text, F.lit(r"\p{IsHan}"))
+
+
+def phrase_count(text: Column, phrases: list[str], han: Column | None = None) -> Column:
+    """Non-overlapping occurrences of all phrases together. With ``han`` (whether the text has a Han letter) phrases of Han letters are looked for in such texts only."""
     one = lambda p: (F.length(text) - F.length(F.replace(text, F.lit(p), F.lit("")))) / len(p)
-    return reduce(lambda a, b: a + b, [one(p) for p in phrases]).cast("long")
+    whole = lambda ps: reduce(lambda a, b: a + b, [one(p) for p in ps])
+    if han is None:
+        return whole(phrases).cast("long")
+    far = [p for p in phrases if any("\u3400" <= c <= "\u9fff" for c in p)]
+    near = [p for p in phrases if p not in far]
+    parts = ([whole(near)] if near else []) + ([F.when(han, whole(far)).otherwise(0.0)] if far else [])
+    return reduce(lambda a, b: a + b, parts).cast("long")
 
 
 @F.pandas_udf(T.StringType())

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.expr import clamp, ratio, rnd
-from ..operators import signals
+from ..operators import signals, topics
 from ..sources import panels
 from . import sql
 
@@ -64,8 +64,8 @@ def market_mood_daily(spark, d):
 
 
 def _text(spark, d):
-    t = panels.table(spark, d, "documents").where("text IS NOT NULL").withColumn("flat", text.squeeze(F.col("text"))).where("length(flat) > 0")
-    counts = {f"n_{k}": text.phrase_count(F.col("flat"), v) for k, v in LEXICON.items()}
+    t = panels.table(spark, d, "documents").where("text IS NOT NULL").withColumn("flat", text.squeeze(F.col("text"))).where("length(flat) > 0").withColumn("han", text.has_han(F.col("flat")))
+    counts = {f"n_{k}": text.phrase_count(F.col("flat"), v, F.col("han")) for k, v in LEXICON.items()}
     found = {"number_count": text.NUMBER, "date_count": text.DATE}
     return t.withColumns(counts | {"n": F.length("flat")} | {k: F.regexp_count("text", F.lit(v)).cast("long") for k, v in found.items()})
 
@@ -100,6 +100,28 @@ def topic_heat(spark, d):
     return signals.topic_heat(articles(spark, d), ["topic"], F.lit(NOW).cast("timestamp"))
 
 
+def _texts(spark, d):
+    """The documents as articles of the last week, their first line as the title."""
+    k = F.col("doc_id")
+    at = F.lit(NOW).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), (k * 37 % 11000).cast("int"), F.lit(0))
+    return panels.table(spark, d, "documents").select(k.alias("article_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"), "source", at.alias("published_at"))
+
+
+def _keywords(spark, d):
+    """Topics from the test items: their first two words, in upper case."""
+    words = F.split(F.upper("text"), " ")
+    return panels.table(spark, d, "benchmark").select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("topic"), F.slice(words, 1, 2).alias("keywords"))
+
+
+def topic_articles(spark, d):
+    """How many whole texts hold all keywords of each topic."""
+    return topics.keyword_matches(_texts(spark, d), _keywords(spark, d)).groupBy("topic").agg(F.count("*").alias("articles"))
+
+
+def topic_keyword_heat(spark, d):
+    return signals.topic_heat(topics.keyword_matches(_texts(spark, d), _keywords(spark, d)), ["topic"], F.lit(NOW).cast("timestamp"))
+
+
 def url_canonical(spark, d):
     p = panels.table(spark, d, "pages")
     return p.select("page_id", text.canonical_url(made_url()).alias("canonical_url"))
@@ -170,6 +192,17 @@ def _count(words: list[str]) -> str:
 
 _TEXT = "WITH t AS (SELECT doc_id, lang, text, regexp_replace(text, '[ \\t-\\r]+', '', 'g') AS flat FROM documents WHERE text IS NOT NULL), c AS (SELECT *, length(flat) AS n, " + ", ".join(f"{_count(v)} AS n_{k}" for k, v in LEXICON.items()) + ", len(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|\\d+(?:\\.\\d+)?(?:%|[A-Za-z0-9_]*)'), lambda x: x[1] >= '0' AND x[1] <= '9')) AS number_count, len(regexp_extract_all(text, '(?:20\\d{2}[-年/.])?\\d{1,2}[-月/.]\\d{1,2}日?')) AS date_count FROM t WHERE length(flat) > 0)"
 _ART = "WITH a AS (SELECT event_id AS article_id, event_type AS topic, event_type || ' ' || (props->>'$.k') AS title, CAST(user_id AS VARCHAR) AS source, ts AS published_at, sha256(lower(regexp_replace(event_type || ' ' || (props->>'$.k'), '[^\\w]+', '', 'g'))) AS title_key FROM events)"
+_HEAT = f""", w AS (SELECT * FROM a WHERE published_at <= TIMESTAMP '{NOW}' + INTERVAL 5 MINUTE AND published_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY),
+      d AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY topic, title_key ORDER BY published_at DESC, article_id DESC) = 1),
+      g AS (SELECT topic, count(*) AS u, count(*) FILTER (published_at >= TIMESTAMP '{NOW}' - INTERVAL 1 HOUR) AS h1, count(*) FILTER (published_at >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR) AS h24, count(*) FILTER (published_at < TIMESTAMP '{NOW}' - INTERVAL 24 HOUR) AS p6,
+        count(DISTINCT source) FILTER (published_at >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR) AS src FROM d GROUP BY 1),
+      j AS (SELECT g.*, m, (h24 + 1) / (p6 / 6::DOUBLE + 1) AS v FROM g JOIN (SELECT topic, count(*) AS m FROM w GROUP BY 1) c ON g.topic = c.topic),
+      k AS (SELECT *, greatest(0, least(100, 50 + 20 * log2(v))) AS att, least(100, 20.0::DOUBLE * src) AS dv, least(100, 100.0::DOUBLE * h1 / greatest(1, h24)) AS rc FROM j)
+      SELECT topic, round(0.60::DOUBLE * att + 0.25::DOUBLE * dv + 0.15::DOUBLE * rc, 3) AS score, round(att, 3) AS attention_velocity_score, round(dv, 3) AS source_diversity_score, round(rc, 3) AS recency_score, h1 AS last_hour_count, h24 AS last_24h_count,
+        p6 AS prior_six_day_count, round(v, 6) AS velocity_ratio, round(1 - u / m::DOUBLE, 6) AS duplicate_ratio, m AS matched_articles FROM k"""
+_MATCH = f"""WITH x AS (SELECT doc_id AS article_id, string_split(text, chr(10))[1] AS title, text, source, TIMESTAMP '{NOW}' - to_minutes(doc_id * 37 % 11000) AS published_at FROM documents),
+kw AS (SELECT 'item ' || item_id AS topic, list_distinct(string_split(lower(text), ' ')[1:2]) AS w FROM benchmark),
+a AS (SELECT kw.topic, x.article_id, x.title, x.source, x.published_at, sha256(regexp_replace(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}_]+', '', 'g')) AS title_key FROM x JOIN kw ON len(list_filter(kw.w, lambda q: NOT contains(lower(concat_ws(chr(10), coalesce(x.title, ''), coalesce(x.text, ''))), q))) = 0)"""
 _URL = r"""WITH p AS (SELECT page_id, CASE WHEN url LIKE '%#%' THEN url ELSE url || CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END || CASE WHEN page_id % 2 = 0 THEN 'utm_source=x&amp;from=a+b&Ref_Src=t&ref=9&AT_medium=m&id=' ELSE 'spm=1.2&source=%7Eq*&flag&gclid=&p=' END || CAST(page_id AS VARCHAR) END AS u FROM pages),
 q AS (SELECT page_id, lower(regexp_extract(u, '^(https?)://([^/?#]*)', 1, 'i')) AS s, lower(regexp_extract(u, '^(https?)://([^/?#]*)', 2, 'i')) AS h, regexp_replace(regexp_replace(replace(u, '&amp;', '&'), '^https?://[^/?#]*', '', 'i'), '#.*$', '') AS rest FROM p),
 r AS (SELECT *, regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '//+', '/', 'g') AS path, list_transform(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: length(x) > 0),
@@ -199,14 +232,9 @@ QUERIES = {
       round(1000.0::DOUBLE * n_uncertainty / n, 3) AS uncertainty_per_1000, round(1000.0::DOUBLE * n_urgency / n, 3) AS urgency_per_1000, round(1000.0::DOUBLE * n_causal / n, 3) AS causal_density_per_1000, round(1000.0::DOUBLE * (n_source_language + number_count + date_count) / n, 3) AS evidence_density_per_1000, number_count, date_count FROM c"""),
     "text_signal_by_lang": (text_signal_by_lang, _TEXT + " SELECT lang, count(*) AS documents, CAST(sum(n_positive) AS BIGINT) AS positive, CAST(sum(n_negative) AS BIGINT) AS negative, CAST(sum(number_count) AS BIGINT) AS numbers, round(1000.0::DOUBLE * sum(n_uncertainty) / sum(n), 3) AS uncertainty_per_1000 FROM c GROUP BY 1"),
     "title_dedupe": (title_dedupe, _ART + " SELECT topic, title_key, article_id, source FROM a QUALIFY row_number() OVER (PARTITION BY topic, title_key ORDER BY published_at DESC, article_id DESC) = 1"),
-    "topic_heat": (topic_heat, _ART + f""", w AS (SELECT * FROM a WHERE published_at <= TIMESTAMP '{NOW}' + INTERVAL 5 MINUTE AND published_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY),
-      d AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY topic, title_key ORDER BY published_at DESC, article_id DESC) = 1),
-      g AS (SELECT topic, count(*) AS u, count(*) FILTER (published_at >= TIMESTAMP '{NOW}' - INTERVAL 1 HOUR) AS h1, count(*) FILTER (published_at >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR) AS h24, count(*) FILTER (published_at < TIMESTAMP '{NOW}' - INTERVAL 24 HOUR) AS p6,
-        count(DISTINCT source) FILTER (published_at >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR) AS src FROM d GROUP BY 1),
-      j AS (SELECT g.*, m, (h24 + 1) / (p6 / 6::DOUBLE + 1) AS v FROM g JOIN (SELECT topic, count(*) AS m FROM w GROUP BY 1) c ON g.topic = c.topic),
-      k AS (SELECT *, greatest(0, least(100, 50 + 20 * log2(v))) AS att, least(100, 20.0::DOUBLE * src) AS dv, least(100, 100.0::DOUBLE * h1 / greatest(1, h24)) AS rc FROM j)
-      SELECT topic, round(0.60::DOUBLE * att + 0.25::DOUBLE * dv + 0.15::DOUBLE * rc, 3) AS score, round(att, 3) AS attention_velocity_score, round(dv, 3) AS source_diversity_score, round(rc, 3) AS recency_score, h1 AS last_hour_count, h24 AS last_24h_count,
-        p6 AS prior_six_day_count, round(v, 6) AS velocity_ratio, round(1 - u / m::DOUBLE, 6) AS duplicate_ratio, m AS matched_articles FROM k"""),
+    "topic_articles": (topic_articles, _MATCH + " SELECT topic, count(*) AS articles FROM a GROUP BY 1"),
+    "topic_keyword_heat": (topic_keyword_heat, _MATCH + _HEAT),
+    "topic_heat": (topic_heat, _ART + _HEAT),
     "url_canonical": (url_canonical, _URL),
     "html_text": (html_text, f"SELECT page_id, trim(regexp_replace({_HTML}, '[ \\t-\\r]+', ' ', 'g')) AS text FROM pages"),
 }
