@@ -15,7 +15,7 @@ NAMES = (
     "market_mood_daily", "text_signals", "topic_heat", "url_canonical", "html_text", "fact_validation", "collection_gate", "site_match", "outlook_plan", "review_queue", "journal_stats_tag", "journal_verify",
     "publication_errors", "publication_valid", "finalization_errors", "finalized_briefs", "fetch_cache_stream", "sizing", "archive_saves", "archive_verification",
     "news_collection", "news_newest", "news_attempts", "landed_market_snapshot", "fetch_histories", "fetch_coverage",
-    "topic_articles", "topic_keyword_heat",
+    "topic_articles", "topic_keyword_heat", "page_sites", "site_coverage", "journal_statistics",
 )
 
 

@@ -74,6 +74,35 @@ def stats(runs: DataFrame, reviews: DataFrame, group_by: str = "none") -> DataFr
     )
 
 
+#: What runs are counted by; instruments and tags count a run under each of them.
+DIMENSIONS = ("none", "horizon", "stance", "decision", "instrument", "tag")
+
+
+def statistics(runs: DataFrame, reviews: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, statuses: tuple[str, ...] = ("confirmed", "partially_confirmed", "refuted", "unresolved"), qualities: tuple[str, ...] = ("good", "mixed", "poor", "unrated")) -> DataFrame:
+    """(dimension, key) with runs, reviews, counts by status and quality, and mean returns: all groupings from one reading and one join.
+
+    Each run gives one slim row a key, so one aggregation, partial before its shuffle, does them all; ``none`` and other keys that hold many runs are
+    one row a task by then. Words outside ``statuses`` and ``qualities`` count as ``other``; words that do not occur are left out of the maps.
+    """
+    one = lambda name, key: F.array(F.struct(F.lit(name).alias("dimension"), key.alias("key")))
+    many = lambda name, c, none: F.transform(F.when(F.size(c) > 0, F.array_distinct(c)).otherwise(F.array(F.lit(none))), lambda x: F.struct(F.lit(name).alias("dimension"), x.alias("key")))
+    plain = lambda name: one(name, F.coalesce(F.col(name).cast("string"), F.lit("unknown")))
+    keys = {"none": one("none", F.lit("all")), "horizon": plain("horizon"), "stance": plain("stance"), "decision": plain("decision"), "instrument": many("instrument", "instruments", "unknown"), "tag": many("tag", "tags", "untagged")}
+    slim = runs.select("run_id", F.concat(*[keys[d] for d in dimensions]).alias("keys"))
+    latest = latest_reviews(reviews).select("run_id", F.struct("latest.thesis_status", "latest.decision_quality", "latest.realized", "latest.excess").alias("r"))
+    j = slim.join(latest, "run_id", "left").select(F.explode("keys").alias("k"), "r").select("k.dimension", "k.key", "r")
+
+    def counted(field: str, words: tuple[str, ...]) -> Column:
+        word = F.col(f"r.{field}")
+        known = [x for w in words for x in (F.lit(w), F.count_if(word == w))]
+        return F.map_filter(F.create_map(*known, F.lit("other"), F.count_if(F.col("r").isNotNull() & ~F.coalesce(word.isin(*words), F.lit(False)))), lambda _, n: n > 0)
+
+    return j.groupBy("dimension", "key").agg(
+        F.count("*").alias("runs"), F.count("r").alias("reviewed_runs"), rnd(F.count("r") / F.count("*"), 4).alias("review_coverage"), counted("thesis_status", statuses).alias("thesis_status_counts"), counted("decision_quality", qualities).alias("decision_quality_counts"),
+        rnd(F.avg("r.realized"), 6).alias("mean_realized_return_pct"), rnd(F.avg("r.excess"), 6).alias("mean_excess_return_pct"),
+    )
+
+
 def verify(runs: DataFrame, reviews: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """(problem, id): runs whose content does not give their fingerprint, and reviews of runs that are not there."""
     changed = runs.where(F.col("fingerprint") != fingerprint(*fields)).select(F.lit("run fingerprint mismatch").alias("problem"), F.col("run_id").alias("id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from ..operators import backtest, brief, decision, evidence, journal, scoring, timeseries, timing
+from ..operators import backtest, brief, coverage, decision, evidence, journal, scoring, timeseries, timing
 from ..sources import panels
 from . import prices, sql
 from .cuts import cut
@@ -219,6 +219,39 @@ def _stats(by):
     return query
 
 
+def journal_statistics(spark, d):
+    s = journal.statistics(runs(spark, d), reviews(spark, d))
+    shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(c)
+    return s.withColumns({c: shown(c) for c in ("thesis_status_counts", "decision_quality_counts")})
+
+
+def _planned(spark, d):
+    """A plan of sites for each region: its nations; suppliers are attempts, customers are pages, some of them of the next nation's domain or with another's name."""
+    n = panels.table(spark, d, "nation").join(panels.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("int").alias("n"), F.col("n_name").alias("publisher"), F.col("r_name").alias("topic"))
+    domain = lambda c: F.concat(F.lower(F.regexp_replace(c, " ", "-")), F.lit(".example.com"))
+    plan = n.select("topic", F.col("n").alias("ordinal"), F.concat(F.lit("site-"), "n").alias("site_id"), "publisher", domain(F.col("publisher")).alias("domain"), (F.col("n") % 7 != 6).alias("must_attempt"))
+    words = F.array(*[F.lit(x) for x in ("no_relevant_result", "paywalled", "failed", "search_results_only", "login_required", "opened_original", "guessed")])
+    s = panels.table(spark, d, "supplier").select(F.col("s_nationkey").cast("int").alias("n"), F.col("s_suppkey").alias("seq")).join(n, "n")
+    attempts = s.select("topic", F.when(F.col("seq") % 10 == 0, "nowhere").otherwise(F.concat(F.lit("site-"), "n")).alias("site_id"), "seq", F.get(words, (F.col("seq") % 7).cast("int")).alias("outcome"))
+    following = n.select(((F.col("n") + 24) % 25).alias("n"), F.col("publisher").alias("next"))
+    c = panels.table(spark, d, "customer").select(F.col("c_nationkey").cast("int").alias("n"), F.col("c_custkey").alias("page_id"), "c_mktsegment").join(n, "n").join(following, "n")
+    k = F.col("page_id")
+    host = F.concat(F.lit("https://www."), F.when(k % 5 == 0, domain(F.col("next"))).otherwise(domain(F.col("publisher"))), F.lit(":443/x?q=1"))
+    access = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "open").when(F.col("c_mktsegment") == "BUILDING", "paywalled").when(F.col("c_mktsegment") == "MACHINERY", "login_required")
+    pages = c.select("topic", "page_id", F.when(k % 3 == 0, F.concat(F.lit("  "), F.lower("publisher"))).otherwise("Other").alias("publisher"), F.when(k % 4 == 0, "https://nowhere.org/").otherwise(host).alias("url"), access.alias("access_state"), F.when(k % 11 == 0, "visible_original_page").alias("capture_method"))
+    return plan, attempts, pages
+
+
+def page_sites(spark, d):
+    plan, _, pages = _planned(spark, d)
+    return coverage.match_pages(pages, plan, "topic")
+
+
+def site_coverage(spark, d):
+    g = coverage.gate(*_planned(spark, d), "topic", "site-7")
+    return g.withColumns({c: F.array_join(c, ";") for c in ("missing_publishers", "failed_publishers", "unresolved_publishers", "warnings")})
+
+
 def journal_verify(spark, d):
     return journal.verify(runs(spark, d), reviews(spark, d), RUN_FIELDS)
 
@@ -240,6 +273,13 @@ _FACT = """WITH f AS (SELECT page_id AS seq, CASE WHEN page_id % 23 = 0 THEN ''
   page_id % 17 = 0 AS bad_url, page_id % 17 <> 0 AND page_id % 29 = 0 AS redacted, page_id % 13 = 0 AS bad_time, CASE WHEN page_id % 3 = 0 THEN 'discovery_lead' WHEN page_id % 4 = 0 THEN 'official' END AS evidence_role, page_id % 3 <> 0 AND page_id % 5 <> 0 AS sub FROM pages)"""
 
 
+_SITES = """WITH plan AS (SELECT n_nationkey AS n, r_name AS topic, lower(n_name) AS key, lower(replace(n_name, ' ', '-')) || '.example.com' AS domain, n_nationkey % 7 <> 6 AS must FROM nation JOIN region ON n_regionkey = r_regionkey),
+att AS (SELECT s_nationkey AS n, p.topic, s_suppkey AS seq, s_suppkey % 10 = 0 AS lost, ['no_relevant_result', 'paywalled', 'failed', 'search_results_only', 'login_required', 'opened_original', 'guessed'][s_suppkey % 7 + 1] AS o FROM supplier JOIN plan p ON p.n = s_nationkey),
+pg AS (SELECT c_custkey AS page_id, p.topic, CASE WHEN c_custkey % 3 = 0 THEN p.key ELSE 'other' END AS pub, CASE WHEN c_custkey % 4 = 0 THEN 'nowhere.org' ELSE 'www.' || CASE WHEN c_custkey % 5 = 0 THEN q.domain ELSE p.domain END END AS host,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN 'paywalled' WHEN c_mktsegment = 'MACHINERY' THEN 'login_required' WHEN c_mktsegment = 'AUTOMOBILE' AND c_custkey % 11 = 0 THEN 'opened_original' ELSE 'search_results_only' END AS o FROM customer JOIN plan p ON p.n = c_nationkey JOIN plan q ON q.n = (c_nationkey + 1) % 25),
+met AS (SELECT pg.topic, pg.page_id, 'site-' || min(p.n) AS site_id FROM pg JOIN plan p ON p.topic = pg.topic AND (pg.pub = p.key OR pg.host = p.domain OR ends_with(pg.host, '.' || p.domain)) GROUP BY 1, 2)"""
+
+
 def _errors(by: str) -> str:
     return f"""list_filter([CASE WHEN fact_id = '' THEN 'missing fact_id' WHEN row_number() OVER (PARTITION BY {by}fact_id ORDER BY seq) > 1 THEN 'duplicate fact_id' END, CASE WHEN claim IS NULL THEN 'missing claim' END, CASE WHEN coalesce(publisher, '') = '' THEN 'missing publisher' END,
       CASE WHEN bad_url THEN 'invalid source_url' END, CASE WHEN bad_time THEN 'invalid retrieved_at' END, CASE WHEN no_unit THEN 'missing unit' END], lambda x: x IS NOT NULL)"""
@@ -359,6 +399,22 @@ QUERIES = {
     "journal_stats_horizon": (_stats("horizon"), _JRUN + f" SELECT CAST(days AS VARCHAR) || 'd' AS key, {_STAT} FROM runs r LEFT JOIN latest l ON r.run_id = l.run_id GROUP BY 1"),
     "journal_stats_decision": (_stats("decision"), _JRUN + f" SELECT decision AS key, {_STAT} FROM runs r LEFT JOIN latest l ON r.run_id = l.run_id GROUP BY 1"),
     "journal_stats_instrument": (_stats("instrument"), _JRUN + f" SELECT code AS key, {_STAT} FROM runs r LEFT JOIN latest l ON r.run_id = l.run_id GROUP BY 1"),
+    "journal_statistics": (journal_statistics, _JRUN + """, x AS (SELECT 'none' AS dimension, 'all' AS key, run_id FROM runs UNION ALL SELECT 'horizon', CAST(days AS VARCHAR) || 'd', run_id FROM runs UNION ALL SELECT 'stance', coalesce(stance, 'unknown'), run_id FROM runs UNION ALL SELECT 'decision', coalesce(decision, 'unknown'), run_id FROM runs
+      UNION ALL SELECT 'instrument', code, run_id FROM runs UNION ALL SELECT 'tag', unnest(CASE WHEN len(tags) > 0 THEN list_distinct(tags) ELSE ['untagged'] END), run_id FROM runs)
+      SELECT dimension, key, count(*) AS runs, count(l.run_id) AS reviewed_runs, round(count(l.run_id) / count(*)::DOUBLE, 4) AS review_coverage,
+        concat_ws(',', CASE WHEN count(*) FILTER (thesis_status = 'confirmed') > 0 THEN 'confirmed=' || count(*) FILTER (thesis_status = 'confirmed') END, CASE WHEN count(*) FILTER (thesis_status = 'refuted') > 0 THEN 'refuted=' || count(*) FILTER (thesis_status = 'refuted') END) AS thesis_status_counts,
+        concat_ws(',', CASE WHEN count(*) FILTER (decision_quality = 'good') > 0 THEN 'good=' || count(*) FILTER (decision_quality = 'good') END, CASE WHEN count(*) FILTER (decision_quality = 'poor') > 0 THEN 'poor=' || count(*) FILTER (decision_quality = 'poor') END) AS decision_quality_counts,
+        round(avg(realized), 6) AS mean_realized_return_pct, round(avg(excess), 6) AS mean_excess_return_pct FROM x LEFT JOIN latest l ON l.run_id = x.run_id GROUP BY 1, 2"""),
+    "page_sites": (page_sites, _SITES + " SELECT topic, page_id, site_id FROM met"),
+    "site_coverage": (site_coverage, _SITES + """, req AS (SELECT * FROM plan WHERE must), tried AS (SELECT n, arg_max(o, seq) AS tried FROM att WHERE NOT lost AND o <> 'guessed' GROUP BY 1),
+      got AS (SELECT m.n, count(*) FILTER (o = 'opened_original') AS originals, arg_max(o, page_id) AS last FROM (SELECT pg.page_id, pg.o, arg_min(r.n, r.n) AS n FROM pg JOIN req r ON r.topic = pg.topic AND (pg.pub = r.key OR pg.host = r.domain OR ends_with(pg.host, '.' || r.domain)) GROUP BY 1, 2) m GROUP BY 1),
+      oc AS (SELECT r.topic, r.n, 'site-' || r.n AS site, coalesce(originals, 0) AS originals, CASE WHEN originals > 0 OR tried = 'opened_original' THEN 'opened_original' ELSE coalesce(last, tried) END AS o FROM req r LEFT JOIN tried ON tried.n = r.n LEFT JOIN got ON got.n = r.n),
+      g AS (SELECT topic, count(*) AS req, count(*) FILTER (o <> 'failed') AS acc, count(*) FILTER (o NOT IN ('failed', 'search_results_only')) AS comp, CAST(sum(originals) AS BIGINT) AS orig, coalesce(string_agg(site, ';' ORDER BY n) FILTER (o IS NULL), '') AS mi, coalesce(string_agg(site, ';' ORDER BY n) FILTER (o = 'failed'), '') AS fa,
+        coalesce(string_agg(site, ';' ORDER BY n) FILTER (o = 'search_results_only'), '') AS un, coalesce(bool_or(site = 'site-7' AND o <> 'failed'), false) AS key7 FROM oc GROUP BY 1),
+      odd AS (SELECT topic, string_agg(w, ';' ORDER BY s, w) AS odd FROM (SELECT topic, w, min(seq) AS s FROM (SELECT topic, seq, CASE WHEN lost THEN 'attempt outside the required plan: nowhere' WHEN NOT must THEN 'attempt outside the required plan: site-' || n WHEN o = 'guessed' THEN 'invalid outcome for site-' || n || ': guessed' END AS w FROM att JOIN plan USING (topic, n)) WHERE w IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+      SELECT g.topic, req AS required_publishers, acc AS accounted_publishers, comp AS completed_publishers, acc = req AS all_accounted_for, comp = req AS passed, CASE WHEN comp = req AND orig > 0 THEN 'complete' WHEN comp = req THEN 'degraded' ELSE 'incomplete' END AS status, key7 AS key_site_attempted, orig AS opened_original_pages,
+        mi AS missing_publishers, fa AS failed_publishers, un AS unresolved_publishers, concat_ws(';', odd, CASE WHEN orig = 0 THEN 'no original page was opened' END, CASE WHEN mi <> '' THEN 'silently skipped: ' || replace(mi, ';', ', ') END, CASE WHEN fa <> '' THEN 'failed: ' || replace(fa, ';', ', ') END,
+        CASE WHEN un <> '' THEN 'not resolved beyond search results: ' || replace(un, ';', ', ') END) AS warnings FROM g LEFT JOIN odd ON odd.topic = g.topic"""),
     "journal_verify": (journal_verify, _JRUN + " SELECT 'run fingerprint mismatch' AS problem, run_id AS id FROM runs WHERE run_id % 97 = 0 UNION ALL SELECT 'review without run', review_id FROM reviews WHERE run_id NOT IN (SELECT run_id FROM runs)"),
     "run_comparison": (run_comparison, _JRUN + " SELECT r.run_id, r.as_of, CAST(r.days AS VARCHAR) || 'd' AS horizon, r.stance, r.decision, observed_at, thesis_status, realized, benchmark, excess, decision_quality FROM runs r LEFT JOIN latest l ON r.run_id = l.run_id WHERE r.run_id IN (1, 2, 3, 5, 8, 13, 21)"),
     "auto_review": (auto_review, _REVIEW + """ SELECT run_id, code, entry_date, exit_date, round(realized, 4) AS realized_return_pct, round(bench, 4) AS benchmark_return_pct, round(ex, 4) AS excess_return_pct, round(mdd, 4) AS max_drawdown_pct, st AS thesis_status,
