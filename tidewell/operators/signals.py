@@ -120,9 +120,11 @@ def event_reactions(events: DataFrame, bars: DataFrame) -> DataFrame:
     e = forward_asof(days, windows, "code", "event_date", "anchor").where("anchor IS NOT NULL")
     e = e.select("code", "sector", "event_date", "anchor", "pre_5d", F.col("r1").alias("a1"), F.col("r3").alias("a3"), F.col("r5").alias("a5"), "volume_ratio")
     s = windows.where(F.col("code").startswith("S")).select(F.col("code").alias("sector"), F.col("anchor").alias("sector_anchor"), F.col("r1").alias("s1"), F.col("r5").alias("s5"))
-    e = forward_asof(e, s, "sector", "event_date", "sector_anchor").where("sector_anchor IS NOT NULL")
+    # sectors and the market are looked up by day, whatever the number of stocks
+    near = forward_asof(e.select("sector", "event_date").distinct(), s, "sector", "event_date", "sector_anchor").where("sector_anchor IS NOT NULL")
     m = windows.where("code = 'MKT'").select(F.lit("MKT").alias("mkt"), F.col("anchor").alias("market_anchor"))
-    e = forward_asof(e.withColumn("mkt", F.lit("MKT")), m, "mkt", "event_date", "market_anchor").where("market_anchor IS NOT NULL").drop("mkt")
+    wide = forward_asof(near.select("event_date").distinct().withColumn("mkt", F.lit("MKT")), m, "mkt", "event_date", "market_anchor").where("market_anchor IS NOT NULL").drop("mkt")
+    e = e.join(near.join(wide, "event_date"), ["sector", "event_date"])
     e = events.join(e, ["code", "event_date"])
     d, x1, x5 = F.col("direction"), F.col("a1") - F.col("s1"), F.col("a5") - F.col("s5")
     regime = (

@@ -44,6 +44,15 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time
     return both.select(key, *[F.col(f"__l.{c}").alias(c) for c in l_cols], *[F.col(f"__r.{c}").alias(prefix + c) for c in fields])
 
 
+def asof_days(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, prefix: str = "r_") -> DataFrame:
+    """``asof`` for left sides with many rows a key and day: distinct (key, day) pairs are looked up and joined back by equality.
+
+    What one task holds of a key is its days, however many rows there are; rows without a key stay, with nothing found.
+    """
+    days = left.select(key, left_time).where(F.col(key).isNotNull()).distinct()
+    return left.join(asof(days, right, key, left_time, right_time, prefix=prefix), [key, left_time], "left")
+
+
 def _struct(df: DataFrame, cols: list[str]):
     from pyspark.sql import types as T
 
@@ -83,7 +92,7 @@ def features(bars: DataFrame, benchmark_of: Column | None = None) -> DataFrame:
     bench = F.when(F.col("role") == "stock", F.col("sector")).when(F.col("role") == "sector", F.lit("MKT")) if benchmark_of is None else benchmark_of
     asked = seen.where(F.col("rn") >= FACTOR_HISTORY).withColumn("bcode", bench)
     marks = seen.where("role <> 'stock'").select(F.col("code").alias("bcode"), F.col("date").alias("bdate"), F.when(F.col("rn") > 20, F.col("r20")).alias("b20"), F.when(F.col("rn") > 60, F.col("r60")).alias("b60"))
-    j = asof(asked, marks, "bcode", "date", "bdate", prefix="")
+    j = asof_days(asked, marks, "bcode", "date", "bdate", prefix="")
     r = lambda c: rnd(c, 6)
     return j.select(
         "role", "code", "sector", "date", F.col("rn").cast("long").alias("history_count"), r(F.col("close")).alias("close"), r(F.col("r5")).alias("return_5d_pct"), r(F.col("r20")).alias("return_20d_pct"), r(F.col("r60")).alias("return_60d_pct"),

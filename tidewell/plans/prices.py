@@ -100,8 +100,9 @@ def rank_top_n(spark, d, top_n: int = 3):
 def rank_exclusions(spark, d):
     """Why a series is not ranked: risk names, benchmarks, short history, low coverage."""
     parts = panels.table(spark, d, "part").groupBy(F.col("p_brand").alias("code")).agg(F.min("p_name").alias("name"))
-    bars = panels.bars(spark, d).groupBy("role", "code").agg(F.count("*").alias("bars"))
-    s = scoring.stock_scores(_features(spark, d)).groupBy("code").agg(F.max_by("coverage", "date").alias("coverage"))
+    panel = panels.bars(spark, d)
+    bars = panel.groupBy("role", "code").agg(F.count("*").alias("bars"))
+    s = scoring.stock_scores(timeseries.features(panel)).groupBy("code").agg(F.max_by("coverage", "date").alias("coverage"))
     j = bars.join(parts, "code", "left").join(s, "code", "left")
     risky = F.coalesce(F.upper("name").contains("ST") | F.col("name").contains("退"), F.lit(False))
     reason = F.when(F.col("role") != "stock", "benchmark").when(risky, "risk name").when(F.col("bars") < timeseries.FACTOR_HISTORY, "insufficient history").when(F.coalesce("coverage", F.lit(0.0)) < scoring.LEAST_COVERAGE, "coverage")
@@ -178,7 +179,8 @@ def timing_risk(spark, d):
 
 def _entries(spark, d):
     b = panels.bars(spark, d)
-    return b, timing.candidates(b.where("role = 'stock'"), _states(spark, d), start=START)
+    stocks = b.where("role = 'stock'")
+    return b, timing.candidates(stocks, timing.states(stocks), start=START)
 
 
 def timing_candidates(spark, d):

@@ -133,8 +133,8 @@ def publication_gate(spark, d):
     return decision.publication_gate(inputs).select("sector", *decision.CHECKS, "failed", "ready")
 
 
-def _last_features(spark, d):
-    f = _features(spark, d)
+def _last_features(bars):
+    f = cut(timeseries.features(bars))
     return f.where("role = 'stock'").groupBy("code").agg(F.max_by(F.struct(*[c for c in f.columns if c not in ("code", "role")]), "date").alias("f")).select("code", "f.*")
 
 
@@ -144,10 +144,11 @@ def _features(spark, d):
 
 def trade_plan(spark, d):
     """Entry, risk and stop of every stock on its last day; every third by its timing state, the others by the fallback."""
-    t = timing.states(panels.bars(spark, d).where("role = 'stock'")).groupBy("code").agg(*[F.max_by(c, "date").alias(n) for c, n in (("stop", "timing_stop"), ("risk_distance_pct", "timing_risk_pct"), ("review_2r", "timing_review"))])
+    b = panels.bars(spark, d)
+    t = timing.states(b.where("role = 'stock'")).groupBy("code").agg(*[F.max_by(c, "date").alias(n) for c, n in (("stop", "timing_stop"), ("risk_distance_pct", "timing_risk_pct"), ("review_2r", "timing_review"))])
     third = F.regexp_extract("code", r"(\d+)", 1).try_cast("int") % 3 == 0
     t = t.where(third)
-    p = brief.trade_plan(_last_features(spark, d).join(t, "code", "left"))
+    p = brief.trade_plan(_last_features(b).join(t, "code", "left"))
     return p.select("code", "ma20_reference", "ma60_reference", "entry", "technical_risk_pct", "technical_stop", "review_level", "risk_method")
 
 
