@@ -16,6 +16,7 @@ NAMES = (
     "publication_errors", "publication_valid", "finalization_errors", "finalized_briefs", "fetch_cache_stream", "sizing", "archive_saves", "archive_verification",
     "news_collection", "news_newest", "news_attempts", "landed_market_snapshot", "fetch_histories", "fetch_coverage",
     "topic_articles", "topic_keyword_heat", "page_sites", "site_coverage", "journal_statistics",
+    "sector_universe", "universe_members", "universe_codes",
 )
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..streaming import fetches, heat
-from . import archives, landed, prices, publications, research, signals, sql
+from . import archives, landed, prices, publications, research, signals, sql, universes
 
-_ALL = prices.QUERIES | signals.QUERIES | research.QUERIES | publications.QUERIES | archives.QUERIES | landed.QUERIES | {"heat_stream": (heat.heat_stream, heat.SQL), "fetch_cache_stream": (fetches.fetch_cache_stream, fetches.SQL)}
+_ALL = prices.QUERIES | signals.QUERIES | research.QUERIES | publications.QUERIES | archives.QUERIES | landed.QUERIES | universes.QUERIES | {"heat_stream": (heat.heat_stream, heat.SQL), "fetch_cache_stream": (fetches.fetch_cache_stream, fetches.SQL)}
 
 
 def queries() -> dict:
