@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__
 from tidewell.plans import catalog, sql
 
-TABLES = "region nation customer supplier part orders lineitem events documents pages labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels".split()
 NAMES = (
     "bars_daily", "bars_clean", "bars_weekly", "weekly_completed_state", "feature_vector", "stock_score", "score_explain", "breadth_by_date", "timing_state", "timing_trades", "lead_lag_pairs", "event_reaction",
     "market_mood_daily", "text_signals", "topic_heat", "url_canonical", "html_text", "fact_validation", "collection_gate", "site_match", "outlook_plan", "review_queue", "journal_stats_tag", "journal_verify",
