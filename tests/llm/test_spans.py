@@ -116,3 +116,33 @@ def test_overlap_with_many_spans(spark):
     text = " ".join("password=hunter2hunter2 XKQJZPLMVTRWQSDKHGTYBNM" for _ in range(4000))
     base, spans = secrets.scan(text, test)
     assert len(base) == 4000 and len(spans) == 8000
+
+
+def test_names_of_digests_hide_nothing_else():
+    """A digest's name excuses a digest of its length; other strings behind it are found as they are alone."""
+    import base64
+    import hashlib
+
+    with open(secrets.VOCABULARY, "rb") as f:
+        test = secrets.TokenEfficiency(f.read())
+    for s in ("md5-xQ7vZ2mK9pL4wR8tB3nY6cF1", "sha1=Zm9vYmFyQmF6UXV4MTIzNDU2Nzg5", "sha512-" + "xQ7vZ2mK9pL4wR8tB3nY6cF1" * 2, "md5-" + hashlib.sha1(b"a").hexdigest().replace("a", "Z")):
+        assert test.random(s), s
+    for name in secrets.DIGESTS:
+        for text in (b"a", b"b", b"c"):
+            digest = hashlib.new(name, text)
+            for s in (f"{name}-{digest.hexdigest()}", f"{name}={base64.b64encode(digest.digest()).decode()}", f"{name}-{base64.urlsafe_b64encode(digest.digest()).decode()}"):
+                assert not test.random(s), s
+
+
+def test_added_spans_against_testing_every_run(spark, sf_dir):
+    """Every run of every whole text, tested one by one, against the scan."""
+    with open(secrets.VOCABULARY, "rb") as f:
+        test = secrets.TokenEfficiency(f.read())
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + TEXTS + ["xQ7vZ2mK9pL4wR8tB3nY6cF1,token=xQ7vZ2mK9pL4wR8tB3nY6cF1 (xQ7vZ2mK9pL4wR8tB3nY6cF1)\u2003xQ7vZ2mK9pL4wR8tB3nY6cF1"]
+    found = 0
+    for t in texts:
+        base, spans = secrets.scan(t, test)
+        want = [(m.start(), m.end(), "entropy") for m in re.finditer(r"[A-Za-z0-9+/_=.-]+", t) if m.end() - m.start() >= 20 and test.random(m.group()) and not any(a < m.end() and m.start() < b for a, b, _ in base)]
+        assert sorted(set(spans) - set(base)) == want
+        found += len(want)
+    assert found >= 3

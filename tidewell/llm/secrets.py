@@ -30,13 +30,15 @@ ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that are long enough
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]+")
-#: Digests and identifiers that are no secrets.
+#: Bytes of the digests that are written with their name.
+DIGESTS = {"md5": 16, "sha1": 20, "sha224": 28, "sha256": 32, "sha384": 48, "sha512": 64}
+#: Digests and identifiers that are no secrets. What follows a digest's name has to have its length, in hex or in base64 (without padding and a sign at the end, which are cut off before).
 KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})"
     r"|(?:[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})"
     r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-    r"|(?:sha\d+|md5)[-:=].*"
-    r"|[0-9+/_=.-]*|\d{4}-?\d\d-?\d\dT[0-9.Z+-]*"  # numbers, dates, rules
+    + "".join(rf"|{name}[-:=](?:[0-9a-fA-F]{{{2 * n}}}|[A-Za-z0-9+/_-]{{{-(-4 * n // 3) - 1},{-(-4 * n // 3)}}})" for name, n in DIGESTS.items())
+    + r"|[0-9+/_=.-]*|\d{4}-?\d\d-?\d\dT[0-9.Z+-]*"  # numbers, dates, rules
 )
 #: Letters of one case and short numbers, alone or joined by signs.
 WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|\d{1,4})(?:[+/_=.-]+(?:[A-Z]?[a-z]+|[A-Z]+|\d{1,4}))*")
