@@ -423,7 +423,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The commonest words and junctions (``head``) are scored inside the scan; the others meet their scores in a
     join, which so holds no hot key. Repeated rows are scored alike; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500)  # the words of a batch are objects, some twenty times the text
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     words = settle(count_words(slim))
