@@ -41,24 +41,21 @@ def daily_measures(bars: DataFrame) -> DataFrame:
 def weekly_state(bars: DataFrame) -> DataFrame:
     """(code, date, weekly_state): the trend over completed weeks at every bar.
 
-    From Friday on the week under way counts with the day's close; before, it does not. Sums over
-    earlier weeks are prepared once a week, and the day's close is added where it counts.
+    From Friday on the week under way counts with the day's close; before, it does not. Means are added up from the
+    newest week to the oldest, as equal means are told apart by the last bit.
     """
-    w = Window.partitionBy("code").orderBy("date")
-    rows = lambda a, b: w.rowsBetween(a, b)
-    weeks = weekly(bars).select(
-        "code", "iso_year", "iso_week", F.row_number().over(w).alias("k"), F.lag("close").over(w).alias("last"), F.sum("close").over(rows(-9, -1)).alias("sum9"), F.sum("close").over(rows(-19, -1)).alias("sum19"),
-        F.avg("close").over(rows(-10, -1)).alias("avg10"), F.avg("close").over(rows(-20, -1)).alias("avg20"), F.avg("close").over(rows(-13, -4)).alias("past"), F.avg("close").over(rows(-12, -3)).alias("past_friday"),
-    )
+    newest = Window.partitionBy("code").orderBy(F.desc("date"))
+    weeks = weekly(bars).select("code", "iso_year", "iso_week", F.collect_list(F.struct("close")).over(newest.rowsBetween(1, 23)).alias("earlier"))
     day = bars.select("code", "date", "close", F.extract(F.lit("YEAROFWEEK"), F.col("date")).cast("int").alias("iso_year"), F.weekofyear("date").alias("iso_week"))
-    j = day.join(weeks, ["code", "iso_year", "iso_week"])
-    friday = F.weekday("date") >= 4
-    fast = F.when(friday, (F.col("sum9") + F.col("close")) / 10).otherwise(F.col("avg10"))
-    slow = F.when(friday, (F.col("sum19") + F.col("close")) / 20).otherwise(F.col("avg20"))
-    before = F.when(friday, F.col("past_friday")).otherwise(F.col("past"))
-    close = F.when(friday, F.col("close")).otherwise(F.col("last"))
-    enough = F.when(friday, F.col("k") >= 23).otherwise(F.col("k") >= 24)
-    return j.select("code", "date", trend(close, fast, slow, pct_gap(fast, before), enough).alias("weekly_state"))
+    own = F.when(F.weekday("date") >= 4, F.array(F.struct("close"))).otherwise(F.array().cast("array<struct<close: double>>"))
+    j = day.join(weeks, ["code", "iso_year", "iso_week"]).select("code", "date", F.transform(F.concat(own, "earlier"), lambda x: x["close"]).alias("closes"))
+
+    def mean(first: int, count: int) -> Column:
+        held = F.filter(F.slice("closes", first, count), lambda x: x.isNotNull())
+        return F.try_divide(F.aggregate(held, F.lit(0.0), lambda t, x: t + x), F.size(held))
+
+    j = j.withColumns({"fast": mean(1, 10), "slow": mean(1, 20), "past": mean(4, 10)})
+    return j.select("code", "date", trend(F.get("closes", F.lit(0)), F.col("fast"), F.col("slow"), pct_gap(F.col("fast"), F.col("past")), F.size("closes") >= 23).alias("weekly_state"))
 
 
 def states(bars: DataFrame) -> DataFrame:
