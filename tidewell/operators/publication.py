@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.cuts import settle
 from . import evidence
 from .brief import TODO
 
@@ -186,11 +187,25 @@ def verdict_of(documents: DataFrame, found: DataFrame, key: str = "document") ->
     return documents.select(key).join(counts, key, "left").select(key, (F.coalesce("errors", F.lit(0)) == 0).alias("valid"), zero("errors"), zero("warnings"))
 
 
+def _entries(pack: str) -> Column:
+    """The list of a pack's facts, each as (is_object, f); null where there is no list."""
+    listed = F.get_json_object(pack, "$.facts")
+    entry = lambda e: F.struct(F.coalesce(F.startswith(e, F.lit("{")), F.lit(False)).alias("is_object"), F.from_json(e, FACT).alias("f"))
+    return F.when(_is_list(listed), F.transform(F.from_json(listed, "array<string>"), entry))
+
+
+def _fact_rows(packs: DataFrame, key: str, entries: str) -> DataFrame:
+    return packs.select(key, F.posexplode(entries).alias("seq", "e")).select(key, "seq", "e.is_object", "e.f.*")
+
+
 def pack_facts(packs: DataFrame, key: str = "document", pack: str = "evidence_pack") -> DataFrame:
     """(key, seq, is_object, the fields of a fact): the entries of each pack's list of facts."""
-    entries = F.from_json(F.get_json_object(pack, "$.facts"), "array<string>")
-    rows = packs.where(_is_list(F.get_json_object(pack, "$.facts"))).select(key, F.posexplode(entries).alias("seq", "entry"))
-    return rows.select(key, "seq", F.coalesce(F.startswith("entry", F.lit("{")), F.lit(False)).alias("is_object"), F.from_json("entry", FACT).alias("f")).select(key, "seq", "is_object", "f.*")
+    return _fact_rows(packs.select(key, _entries(pack).alias("entries")), key, "entries")
+
+
+def _pack_head(pack: str) -> dict[str, Column]:
+    field = lambda name: F.get_json_object(pack, f"$.{name}")
+    return {"schema": field("schema"), "topic": field("topic"), "listed": _is_list(field("facts"))}
 
 
 def _is_list(text: Column) -> Column:
@@ -202,9 +217,11 @@ def validate_packs(packs: DataFrame, key: str = "document", pack: str = "evidenc
 
     A fact id may stand once in a pack. A pack that is missing has no schema and no list.
     """
-    field = lambda name: F.get_json_object(pack, f"$.{name}")
-    head = packs.select(key, field("schema").alias("schema"), field("topic").alias("topic"), _is_list(field("facts")).alias("listed"))
-    facts = pack_facts(packs, key, pack)
+    return _broken_packs(packs.select(key, *[c.alias(n) for n, c in _pack_head(pack).items()]), pack_facts(packs, key, pack), key)
+
+
+def _broken_packs(head: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``validate_packs`` of what is read already: (key, schema, topic, listed) and the rows of facts."""
     checked = evidence.validate_facts(facts.where("is_object"), [key])
     weak = checked.where(~evidence.substantive()).groupBy(key).agg(F.count("*").alias("weak"))
     some = facts.groupBy(key).agg(F.count("*").alias("held"))
@@ -274,15 +291,18 @@ def finalize(documents: DataFrame, key: str = "document") -> tuple[DataFrame, Da
     ``documents`` has one row a key, with JSON texts ``brief``, ``forecast``, ``selection``, ``backtest``, ``evidence_pack``, ``news_coverage`` and
     ``signal_backtest``; null means missing. A brief is ready if nothing is broken, its pack's own errors included; a pack's warnings are handed on.
     """
-    facts = pack_facts(documents, key)
+    read = typed(documents.withColumn("__brief", F.col("brief")), ("brief", "forecast", "selection", "backtest", "news_coverage", "signal_backtest"))
+    open_in = lambda part: F.coalesce(F.contains(F.get_json_object("__brief", f"$.{part}"), F.lit(f'"{TODO}"')), F.lit(False))
+    # every text is read once; the branches below take what they need of it
+    read = settle(read.select(
+        key, "brief", "brief_todo", "forecast", "selection", "backtest", "news_coverage", "signal_backtest", (~open_in("blogger_logic")).alias("all_causal_fields_resolved"), (~open_in("candidate_theses")).alias("candidate_verdicts_resolved"),
+        F.struct(*[c.alias(n) for n, c in _pack_head("evidence_pack").items()]).alias("pack"), _entries("evidence_pack").alias("entries"),
+    ))
+    facts = _fact_rows(read, key, "entries")
     counts = facts.where("is_object").groupBy(key).agg(F.count("*").alias("total"), F.count_if(evidence.substantive()).alias("substantive"))
-    read = typed(documents, ("brief", "forecast", "selection", "backtest", "news_coverage", "signal_backtest"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    causal = F.coalesce(F.contains(F.get_json_object("__brief", "$.blogger_logic"), F.lit(f'"{TODO}"')), F.lit(False))
-    open_theses = F.coalesce(F.contains(F.get_json_object("__brief", "$.candidate_theses"), F.lit(f'"{TODO}"')), F.lit(False))
-    raw = documents.select(key, F.col("brief").alias("__brief")).select(key, (~causal).alias("all_causal_fields_resolved"), (~open_theses).alias("candidate_verdicts_resolved"))
-    wide = read.join(counts, key, "left").join(raw, key).withColumns({"total": zero("total"), "substantive": zero("substantive")})
-    pack = validate_packs(documents, key).withColumn("path", F.concat(F.lit("evidence_pack."), "path"))
+    wide = read.drop("pack", "entries").join(counts, key, "left").withColumns({"total": zero("total"), "substantive": zero("substantive")})
+    pack = _broken_packs(read.select(key, "pack.*"), facts, key).withColumn("path", F.concat(F.lit("evidence_pack."), "path"))
     found = breaches(wide, FINAL, key).unionByName(_theses(wide, facts, key)).unionByName(pack)
     broken = found.where("level = 'error'").groupBy(key).agg(F.count("*").alias("errors"))
     n = lambda path: F.coalesce(F.expr(path), F.lit(0))

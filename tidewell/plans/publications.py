@@ -6,20 +6,21 @@ from pyspark.sql import functions as F
 
 from ..operators import publication as pub
 from ..sources import panels
-from .cuts import cut
 
 _K, _P = "o_orderkey", "x.p"
 
 
 def documents(spark, d):
     """(document, publication, the JSON texts): orders with their lines in one list, written as landed documents are."""
-    line = F.struct(F.col("l_linenumber").cast("int").alias("ln"), F.col("l_partkey").cast("long").alias("p"), F.col("l_quantity").cast("int").alias("q"), F.col("l_returnflag").alias("rf"))
-    lines = panels.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    line = panels.table(spark, d, "lineitem").select("l_orderkey", F.col("l_orderkey").cast("long").alias("k"), F.col("l_linenumber").cast("int").alias("ln"), F.col("l_partkey").cast("long").alias("p"), F.col("l_quantity").cast("int").alias("q"), F.col("l_returnflag").alias("rf"))
+    # what several texts hold is made once a line, before lines meet
+    line = line.withColumn("code", F.expr("CASE WHEN p % 37 = 0 THEN '12' WHEN k % 29 = 0 THEN lpad(CAST(p % 3 AS STRING), 6, '0') ELSE lpad(CAST(p AS STRING), 6, '0') END"))
+    line = line.withColumn("action", F.expr("CASE WHEN k % 97 = 1 AND ln = 1 THEN 'hold' WHEN rf = 'A' THEN 'buy' WHEN rf = 'R' THEN 'avoid' ELSE 'wait' END"))
+    line = line.withColumn("position", F.expr("CAST(CASE WHEN action = 'buy' THEN CASE WHEN p % 41 = 0 THEN 0 ELSE q / 8 END WHEN action = 'hold' THEN 0 WHEN p % 43 = 0 THEN 1 WHEN p % 47 = 0 THEN -1 ELSE 0 END AS DOUBLE)"))
+    lines = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("ln", "p", "q", "rf", "code", "action", "position"))).alias("lines"))
     orders = panels.table(spark, d, "orders").select(F.col(_K).cast("long").alias("k"))
     o = orders.join(lines, orders["k"] == lines["l_orderkey"], "left").withColumn("lines", F.coalesce("lines", F.expr("array()")))
-    code = "CASE WHEN x.p % 37 = 0 THEN '12' WHEN k % 29 = 0 THEN lpad(CAST(x.p % 3 AS STRING), 6, '0') ELSE lpad(CAST(x.p AS STRING), 6, '0') END"
-    action = "CASE WHEN k % 97 = 1 AND x.ln = 1 THEN 'hold' WHEN x.rf = 'A' THEN 'buy' WHEN x.rf = 'R' THEN 'avoid' ELSE 'wait' END"
-    position = f"CAST(CASE WHEN {action} = 'buy' THEN CASE WHEN x.p % 41 = 0 THEN 0 ELSE x.q / 8 END WHEN {action} = 'hold' THEN 0 WHEN x.p % 43 = 0 THEN 1 WHEN x.p % 47 = 0 THEN -1 ELSE 0 END AS DOUBLE)"
+    code, action, position = "x.code", "x.action", "x.position"
     horizon = lambda score, status, cover: f"named_struct('score', {score}, 'probability_status', {status}, 'coverage', {cover})"
     five = horizon("CAST(CASE WHEN k % 7 = 3 THEN 120 ELSE k % 101 END AS DOUBLE)", f"if(k % 43 = 0, 'calibrated', '{pub.UNCALIBRATED}')", "if(k % 47 = 0, CAST(NULL AS DOUBLE), 0.9D)")
     twenty = horizon("if(k % 53 = 0, CAST(NULL AS DOUBLE), 50D)", f"'{pub.UNCALIBRATED}'", "if(k % 59 = 0, 1.5D, 0.9D)")
@@ -57,11 +58,11 @@ def publication_valid(spark, d):
 
 
 def finalized_briefs(spark, d):
-    return pub.finalize(cut(documents(spark, d)))[0]
+    return pub.finalize(documents(spark, d))[0]
 
 
 def finalization_errors(spark, d):
-    return pub.finalize(cut(documents(spark, d)))[1].select("document", "level", "path", "rule")
+    return pub.finalize(documents(spark, d))[1].select("document", "level", "path", "rule")
 
 
 _LINES = """
