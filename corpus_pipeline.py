@@ -18,7 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays: five-word shingles alike at 0.8 or more."""
+    """One document of each component of near copies stays: five-word shingles alike at 0.8 or more, of SimHash links first."""
     return shingles.one_of_each(docs)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewell.llm import decontaminate, hilbert, langid, mixing
+from tidewell.llm import decontaminate, hilbert, langid, mixing, shingles, simhash
 
 from .fixtures import frame
 from .test_mixing import slow_targets
@@ -127,3 +127,22 @@ def test_rows_alike_in_id_and_text_keep_their_own_columns(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == [*COLUMNS, "shard", "slot"]
+
+
+def test_near_duplicates_take_the_links_of_simhash(spark, sf_dir, monkeypatch):
+    """Without pairs by shared shingles, texts within 4 bits still go together, once their shingles are counted."""
+    rows = []
+    for i in range(8):
+        words = [f"v{i}x{k}" for k in range(600)]
+        rows += [(10 * i, " ".join(words), "en", "a", i), (10 * i + 1, " ".join([*words[:-1], "last"]), "en", "a", i)]
+    common = "terms of use apply to all pages of this " * 40
+    rows += [(100 + i, common + " ".join(f"w{i}x{k}" for k in range(6)), "en", "a", i) for i in range(3)]  # within 4 bits, not alike
+    marks = {r[0]: simhash.fingerprint(r[1]) for r in rows}
+    near = lambda a, b: (marks[a] ^ marks[b]).bit_count() <= 4
+    linked = [10 * i for i in range(8) if near(10 * i, 10 * i + 1)]
+    assert len(linked) >= 4 and near(100, 101) and near(100, 102)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda: sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect())
+    assert kept() == sorted(min(r[0] for r in group) for group in slow_components(rows)) == [*range(0, 80, 10), 100, 101, 102]
+    monkeypatch.setattr(shingles, "_candidates", lambda firsts, *_: firsts.sparkSession.createDataFrame([], "a long, b long"))
+    assert kept() == sorted({r[0] for r in rows} - {i + 1 for i in linked})

@@ -8,8 +8,9 @@ no pair. Pairs that meet are held against their lengths and places, then against
 sets (a set's shingles with a given last byte), whose differences bound the distance of two sets from below, and what
 is left is counted shingle by shingle.
 
-A group of near copies has as many pairs as its square, so sets are first linked with a few neighbours in each run of
-equal shingles. What is found alike is one component, and pairs within a component are not made any more.
+``one_of_each`` first takes the links of the texts' SimHash fingerprints (``simhash``: pivot tables) and counts those pairs exactly, and then finds the
+pairs that are alike though their fingerprints are not within the radius. A group of near copies has as many pairs as its square, so sets are next linked with a few neighbours in each run of
+equal shingles. What is linked is one component, and pairs within a component are not made any more.
 
 Long runs are known by their real lengths: the shingles of all prefixes are counted, by digest alone. Every long run
 is dealt over tiles, and its sets bring their counts.
@@ -26,7 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, LOWER, arrow_map, cut, free, row_digest, settle, small_batches
+from . import simhash
+from .common import HOT_SHARE, LOWER, arrow_map, cut, free, join_classes, row_digest, settle, small_batches
 from .components import components
 
 #: Buckets of shingles that are counted (4 bytes each are sent to the tasks), and of those the buckets that travel together.
@@ -111,26 +113,28 @@ def _counted(parts: DataFrame, buckets: int) -> np.ndarray:
 
 
 def _names(keyed: DataFrame, width: int, buckets: int) -> tuple[DataFrame, np.ndarray]:
-    """(row, set, n), the digest of each row's set and its size, and the counts of all texts' shingles by bucket, in one reading."""
+    """(row, set, n, fp), the digest of each row's set, its size and the text's SimHash fingerprint, and the counts of all texts' shingles by bucket, in one reading."""
     small_batches(keyed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         counts = np.zeros(buckets, np.int64)
         none = lambda n, kind: pa.nulls(n, kind)
-        fields = ["row", "set", "n", "segment", "counts"]
+        fields = ["row", "set", "n", "fp", "segment", "counts"]
         for batch in batches:
-            found = [shingles(t, width, known) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            found = [shingles(t, width, known) for t in texts]
+            marks = np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
             for x in found:
                 np.add.at(counts, bucket(x, buckets), 1)
-            named = [batch.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()), pa.array(list(map(len, found)), pa.int32())]
+            named = [batch.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()), pa.array(list(map(len, found)), pa.int32()), pa.array(marks)]
             yield pa.RecordBatch.from_arrays([*named, none(len(found), pa.int32()), none(len(found), pa.binary())], names=fields)
         for part in _segments(counts):
             n = part.num_rows
-            yield pa.RecordBatch.from_arrays([none(n, pa.string()), none(n, pa.binary()), none(n, pa.int32()), *part.columns], names=fields)
+            yield pa.RecordBatch.from_arrays([none(n, pa.string()), none(n, pa.binary()), none(n, pa.int32()), none(n, pa.int64()), *part.columns], names=fields)
 
-    found = settle(keyed.mapInArrow(run, "row string, set binary, n int, segment int, counts binary"))
-    return found.where("row IS NOT NULL").select("row", "set", "n"), _counted(found.where("row IS NULL").select("segment", "counts"), buckets)
+    found = settle(keyed.mapInArrow(run, "row string, set binary, n int, fp long, segment int, counts binary"))
+    return found.where("row IS NOT NULL").select("row", "set", "n", "fp"), _counted(found.where("row IS NULL").select("segment", "counts"), buckets)
 
 
 def _sets(keyed: DataFrame, width: int, similarity: float, counts: np.ndarray) -> DataFrame:
@@ -333,10 +337,22 @@ def _alike(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, sim
     return _tiled(pairs, held, blocks, together).mapInArrow(run, "a long, b long")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, most: int = 4096, block: int = 1 << 22, most_sent: int = MOST_SENT, buckets: int = BUCKETS, long: int = LONG) -> DataFrame:
+def _fingerprint_links(names: DataFrame, classes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links between sets (``classes``: long, set) that have rows of one SimHash fingerprint, or of fingerprints within ``radius`` bits; enough to give the components."""
+    held = cut(names.select(F.col("set").alias("long"), "fp").distinct().join(classes.select("long", "set"), "long").select("fp", "set"))
+    heads = cut(held.groupBy("fp").agg(F.min("set").alias("head"), F.count("*").alias("times")))
+    equal = join_classes(held, heads, ["fp"]).where("set <> head").select(F.col("head").alias("a"), F.col("set").alias("b"))
+    end = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_set"))
+    near = simhash.links(heads.select("fp"), radius).join(end("a"), "a").join(end("b"), "b").select(F.col("a_set").alias("a"), F.col("b_set").alias("b"))
+    return cut(equal.unionByName(near).where("a <> b"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, most: int = 4096, block: int = 1 << 22, most_sent: int = MOST_SENT, buckets: int = BUCKETS, long: int = LONG, radius: int = 4) -> DataFrame:
     """The rows of ``docs``, all columns, one of each component of texts whose sets of word shingles have a Jaccard
     similarity of ``similarity`` or more: the one with the least id (null last), then the least digest.
 
+    Pairs come from SimHash fingerprints that differ in at most ``radius`` bits, and, where these do not tell, from shared shingles; all are counted exactly.
+
     Null and wordless texts have the empty set, alike to itself. Rows are told apart by 128 bits over all columns, so each
     keeps its own; of rows equal in every column one is kept. Columns may have any names. An empty table gives no rows.
     Sets of a shingle that more than ``most`` hold are dealt over tiles; ``block`` is the number
@@ -351,7 +367,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a set's short name is a number of its own, so that no two sets share it
     classes = cut(
         names.select("row", F.col("set").alias("long"), "n").distinct().join(ids, "row").groupBy("long").agg(F.min(order).alias("first"), F.first("n").alias("n"))
-        .select(F.monotonically_increasing_id().alias("set"), "first", "n")
+        .select(F.monotonically_increasing_id().alias("set"), "long", "first", "n")
     )
     count, total = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     stands = classes.select(F.col("first.row").alias("row"), "set")
@@ -360,10 +376,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketches = firsts.select("set", F.col("sketch").alias("data"))
     blocks = -(-count // SKETCHES) or 1
     links = None
-    for few in (True, False):
-        label = F.col("set") if links is None else F.coalesce("root", "set")
-        named = firsts if links is None else firsts.join(_sent(components(links).withColumnRenamed("node", "set"), most_sent), "set", "left")
-        pairs = cut(_close(_candidates(named.withColumn("label", label), similarity, few, runs, most, most_sent), sketches, similarity, blocks))
+    for few in (None, True, False):
+        if links is None:
+            pairs = _fingerprint_links(names, classes, radius)
+        else:
+            named = firsts.join(_sent(components(links).withColumnRenamed("node", "set"), most_sent), "set", "left").withColumn("label", F.coalesce("root", "set"))
+            pairs = cut(_close(_candidates(named, similarity, few, runs, most, most_sent), sketches, similarity, blocks))
         asked = cut(stands.join(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "set", "left_semi"))
         texts = plain.join(_sent(asked, most_sent), "row").dropDuplicates(["row"])
         found = cut(_alike(pairs, classes.select("set", "n"), texts, width, similarity, block, -(-total // block) or 1))
