@@ -17,9 +17,11 @@ def documents(spark, d):
     line = line.withColumn("code", F.expr("CASE WHEN p % 37 = 0 THEN '12' WHEN k % 29 = 0 THEN lpad(CAST(p % 3 AS STRING), 6, '0') ELSE lpad(CAST(p AS STRING), 6, '0') END"))
     line = line.withColumn("action", F.expr("CASE WHEN k % 97 = 1 AND ln = 1 THEN 'hold' WHEN rf = 'A' THEN 'buy' WHEN rf = 'R' THEN 'avoid' ELSE 'wait' END"))
     line = line.withColumn("position", F.expr("CAST(CASE WHEN action = 'buy' THEN CASE WHEN p % 41 = 0 THEN 0 ELSE q / 8 END WHEN action = 'hold' THEN 0 WHEN p % 43 = 0 THEN 1 WHEN p % 47 = 0 THEN -1 ELSE 0 END AS DOUBLE)"))
-    lines = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("ln", "p", "q", "rf", "code", "action", "position"))).alias("lines"))
-    orders = panels.table(spark, d, "orders").select(F.col(_K).cast("long").alias("k"))
-    o = orders.join(lines, orders["k"] == lines["l_orderkey"], "left").withColumn("lines", F.coalesce("lines", F.expr("array()")))
+    # texts cost far more than the bytes that are shuffled, so the number of tasks is set and not left to sizes
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = line.repartition(wide, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("ln", "p", "q", "rf", "code", "action", "position"))).alias("lines"))
+    orders = panels.table(spark, d, "orders").select(F.col(_K).alias("o"), F.col(_K).cast("long").alias("k")).repartition(wide, "o")
+    o = orders.join(lines, orders["o"] == lines["l_orderkey"], "left").withColumn("lines", F.coalesce("lines", F.expr("array()")))
     code, action, position = "x.code", "x.action", "x.position"
     horizon = lambda score, status, cover: f"named_struct('score', {score}, 'probability_status', {status}, 'coverage', {cover})"
     five = horizon("CAST(CASE WHEN k % 7 = 3 THEN 120 ELSE k % 101 END AS DOUBLE)", f"if(k % 43 = 0, 'calibrated', '{pub.UNCALIBRATED}')", "if(k % 47 = 0, CAST(NULL AS DOUBLE), 0.9D)")
