@@ -6,6 +6,7 @@ import json
 import pytest
 
 from tidewell.operators import publication as pub
+from tidewell.plans import publications
 
 NAMES = ("forecast", "selection", "backtest", "brief", "recommendation")
 REC = {
@@ -144,3 +145,17 @@ def test_finalize(spark):
 def test_documents_that_are_none(spark, value):
     df = spark.createDataFrame([(1, value)], "document int, brief string")
     assert pub.typed(df, ("brief",)).where("brief IS NULL").count() == 1
+
+
+def test_verdicts_where_the_row_stands(spark):
+    docs = frame(spark, [GOOD, *[changed(p, v) for p, v, _ in BROKEN]])
+    assert sorted(pub.publication_verdicts(docs).collect()) == sorted(pub.verdict_of(docs, pub.validate_publications(docs)).collect())
+    assert {tuple(r)[1:] for r in pub.publication_verdicts(docs.withColumn("document", docs["document"] - docs["document"] * None)).collect()} == {(True, 0, 0)}
+
+
+def test_publications_are_made_once_and_by_many_tasks(spark, sf_dir):
+    """Lines are read once, and the texts are dealt to as many tasks as the session sets, however small the table is."""
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert publications.documents(spark, sf_dir).rdd.getNumPartitions() == wide
+    plan = publications.publication_valid(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_partkey") > 0 and plan.count("Relation [l_orderkey") == 1 and plan.count("Join") == 1

@@ -55,8 +55,7 @@ def publication_errors(spark, d):
 
 
 def publication_valid(spark, d):
-    docs = documents(spark, d)
-    return pub.verdict_of(docs, pub.validate_publications(docs))
+    return pub.publication_verdicts(documents(spark, d))
 
 
 def finalized_briefs(spark, d):
