@@ -41,3 +41,14 @@ def test_roots_of_random_edges_paths_and_hubs(spark, held):
 def test_no_edges_and_edges_to_oneself(spark):
     assert got(spark, [], 3) == {}
     assert got(spark, [(5, 5), (7, 6), (6, 7)], 3) == {7: 6, 6: 6}
+
+
+def test_rounds_in_few_and_in_many_tasks(spark, narrow):
+    """A round's tasks follow the edges, not the session's shuffle partitions; roots are the same for any number of them."""
+    rng = random.Random(8)
+    edges = [(k, k + 1) for k in range(300)] + [(1000 + k, 1000) for k in range(1, 200)]
+    rng.shuffle(edges)
+    few = narrow(lambda: got(spark, edges, 12, held=2))
+    many = narrow(lambda: got(spark, edges, 12, held=2, share=4))
+    assert few[0] == many[0] == reached(edges)
+    assert few[1] < many[1] and few[1] < 90 * 60

@@ -97,3 +97,12 @@ def test_pairs_grow_with_the_documents(spark):
             shingles._close = close
         found.append(sum(p.count() for p in made))
     assert found[1] <= 8 * max(found[0], count // 16)
+
+
+def test_small_tables_take_few_tasks(spark, narrow):
+    """However many shuffle partitions the session sets: each task leaves files, and the disk they take is no share of the input."""
+    df = frame(spark)
+    want = slow_kept([(r["doc_id"], r["text"]) for r in df.collect()])
+    kept, tasks = narrow(lambda: sorted((r["doc_id"] for r in shingles.one_of_each(df).collect()), key=str))
+    assert kept == want
+    assert tasks < 140 * 60

@@ -8,9 +8,9 @@ no pair. Pairs that meet are held against their lengths and places, then against
 sets (a set's shingles with a given last byte), whose differences bound the distance of two sets from below, and what
 is left is counted shingle by shingle.
 
-``one_of_each`` first takes the links of the texts' SimHash fingerprints (``simhash``: pivot tables) and counts those pairs exactly, and then finds the
-pairs that are alike though their fingerprints are not within the radius. A group of near copies has as many pairs as its square, so sets are next linked with a few neighbours in each run of
-equal shingles. What is linked is one component, and pairs within a component are not made any more.
+``one_of_each`` first takes the links of the texts' SimHash fingerprints (``simhash``: pivot tables) and counts those pairs exactly. A group of near copies has as many pairs as its square, so
+in the same pass sets are linked with a few neighbours in each run of equal shingles. What is linked is one component, and pairs within a component are not made any more; then the
+pairs are found that are alike though nothing of this tells.
 
 Long runs are known by their real lengths: the shingles of all prefixes are counted, by digest alone. Every long run
 is dealt over tiles, and its sets bring their counts.
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import HOT_SHARE, LOWER, arrow_map, cut, free, join_classes, row_digest, settle, small_batches
+from .common import HOT_SHARE, LOWER, arrow_map, cut_narrow, free, join_classes, row_digest, settle, small_batches
 from .components import components
 
 #: Buckets of shingles that are counted (4 bytes each are sent to the tasks), and of those the buckets that travel together.
@@ -157,7 +157,7 @@ def _sets(keyed: DataFrame, width: int, similarity: float, counts: np.ndarray) -
 
 def _long_runs(firsts: DataFrame, long: int) -> DataFrame:
     """(shingle, times) of the shingles that ``long`` prefixes or more hold, counted one by one."""
-    return cut(firsts.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("times")).where(F.col("times") >= long))
+    return cut_narrow(firsts.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("times")).where(F.col("times") >= long))
 
 
 def meetings(key: np.ndarray, sets: np.ndarray, n: np.ndarray, place: np.ndarray, label: np.ndarray, similarity: float, most: int | None = None, fold: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -298,7 +298,7 @@ def _alike(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, sim
     """
     linked = components(pairs).withColumnRenamed("node", "set")
     small = linked.join(sizes, "set").groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") <= block).select("root")
-    together = cut(linked.join(small, "root").select("set", "root"))
+    together = cut_narrow(linked.join(small, "root").select("set", "root"))
     schema = pa.schema([("set", pa.int64()), ("data", pa.binary())])
     known: dict[bytes, int] = {}
 
@@ -339,12 +339,12 @@ def _alike(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, sim
 
 def _fingerprint_links(names: DataFrame, classes: DataFrame, radius: int) -> DataFrame:
     """(a, b): links between sets (``classes``: long, set) that have rows of one SimHash fingerprint, or of fingerprints within ``radius`` bits; enough to give the components."""
-    held = cut(names.select(F.col("set").alias("long"), "fp").distinct().join(classes.select("long", "set"), "long").select("fp", "set"))
-    heads = cut(held.groupBy("fp").agg(F.min("set").alias("head"), F.count("*").alias("times")))
+    held = cut_narrow(names.select(F.col("set").alias("long"), "fp").distinct().join(classes.select("long", "set"), "long").select("fp", "set"))
+    heads = cut_narrow(held.groupBy("fp").agg(F.min("set").alias("head"), F.count("*").alias("times")))
     equal = join_classes(held, heads, ["fp"]).where("set <> head").select(F.col("head").alias("a"), F.col("set").alias("b"))
     end = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_set"))
     near = simhash.links(heads.select("fp"), radius).join(end("a"), "a").join(end("b"), "b").select(F.col("a_set").alias("a"), F.col("b_set").alias("b"))
-    return cut(equal.unionByName(near).where("a <> b"))
+    return equal.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, most: int = 4096, block: int = 1 << 22, most_sent: int = MOST_SENT, buckets: int = BUCKETS, long: int = LONG, radius: int = 4) -> DataFrame:
@@ -359,13 +359,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of shingles of a block, ``buckets`` (a power of two) of counted ones, ``long`` of sets of a long run.
     """
     row = row_digest(docs)
-    ids = cut(docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id")).groupBy("row", "id").agg(F.count("*").alias("times")))
+    ids = cut_narrow(docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id")).groupBy("row", "id").agg(F.count("*").alias("times")))
     docs = _often_once(docs, row, ids)
     plain = docs.select(row.alias("row"), F.col(text_col).alias("text"))
     names, counts = _names(plain, width, buckets)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     # a set's short name is a number of its own, so that no two sets share it
-    classes = cut(
+    classes = cut_narrow(
         names.select("row", F.col("set").alias("long"), "n").distinct().join(ids, "row").groupBy("long").agg(F.min(order).alias("first"), F.first("n").alias("n"))
         .select(F.monotonically_increasing_id().alias("set"), "long", "first", "n")
     )
@@ -376,15 +376,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketches = firsts.select("set", F.col("sketch").alias("data"))
     blocks = -(-count // SKETCHES) or 1
     links = None
-    for few in (None, True, False):
-        if links is None:
-            pairs = _fingerprint_links(names, classes, radius)
-        else:
-            named = firsts.join(_sent(components(links).withColumnRenamed("node", "set"), most_sent), "set", "left").withColumn("label", F.coalesce("root", "set"))
-            pairs = cut(_close(_candidates(named, similarity, few, runs, most, most_sent), sketches, similarity, blocks))
-        asked = cut(stands.join(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "set", "left_semi"))
+    for few in (True, False):
+        label = F.col("set") if links is None else F.coalesce("root", "set")
+        named = firsts if links is None else firsts.join(_sent(components(links).withColumnRenamed("node", "set"), most_sent), "set", "left")
+        pairs = _close(_candidates(named.withColumn("label", label), similarity, few, runs, most, most_sent), sketches, similarity, blocks)
+        if few:
+            pairs = pairs.unionByName(_fingerprint_links(names, classes, radius)).distinct()
+        pairs = cut_narrow(pairs)
+        asked = cut_narrow(stands.join(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "set", "left_semi"))
         texts = plain.join(_sent(asked, most_sent), "row").dropDuplicates(["row"])
-        found = cut(_alike(pairs, classes.select("set", "n"), texts, width, similarity, block, -(-total // block) or 1))
+        found = cut_narrow(_alike(pairs, classes.select("set", "n"), texts, width, similarity, block, -(-total // block) or 1))
         links = found if links is None else links.unionByName(found)
     named = components(links).withColumnRenamed("node", "set")
     kept = classes.join(named, "set", "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("first").alias("first"))
@@ -404,7 +405,7 @@ def _kept_rows(docs: DataFrame, row: Column, ids: DataFrame, keep: DataFrame, mo
     name, again = free(docs, "__row"), free(docs, "__again")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     marks = ids.join(keep.withColumn("kept", F.lit(True)), "row", "left").where("kept IS NULL OR times > 1")
-    marks = cut(marks.select(F.unhex("row").alias(name), F.coalesce("kept", F.lit(False)).alias(again)))
+    marks = cut_narrow(marks.select(F.unhex("row").alias(name), F.coalesce("kept", F.lit(False)).alias(again)))
     if marks.count() > most_sent:
         return docs.withColumn(name, row).join(keep.withColumnRenamed("row", name), name, "left_semi").dropDuplicates([name]).select(*columns)
     marked = docs.withColumn(name, F.unhex(row)).join(F.broadcast(marks), name, "left")
