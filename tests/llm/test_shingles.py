@@ -105,4 +105,4 @@ def test_small_tables_take_few_tasks(spark, narrow):
     want = slow_kept([(r["doc_id"], r["text"]) for r in df.collect()])
     kept, tasks = narrow(lambda: sorted((r["doc_id"] for r in shingles.one_of_each(df).collect()), key=str))
     assert kept == want
-    assert tasks < 140 * 60
+    assert tasks < 80 * 60
